@@ -24,8 +24,8 @@ from .learn import BUCKETS, bucket, gather, held_out, keep_below, logistic, samp
 
 #: Most confirmed toxic rows, and most rows of any kind, that the model is fitted on.
 POSITIVES, UNLABELLED = 2000, 4000
-#: A feature is used if so many positives have it and its rates on the two sides differ by this factor.
-SUPPORT, FACTOR = 4, 2.0
+#: A feature is used if so many rows have it and the log of its rates' ratio is so many standard errors from zero.
+SUPPORT, ERRORS = 4, 4.0
 ITERATIONS, RATE, DECAY = 300, 0.1, 1e-4
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -56,8 +56,8 @@ def fit(positive: list[tuple[np.ndarray, np.ndarray]], unlabelled: list[tuple[np
         return weights, -40.0
     seen = [np.bincount(np.concatenate([k for k, _ in side]), minlength=BUCKETS) for side in (positive, unlabelled)]
     rate_p, rate_u = ((n + 0.5) / (len(side) + 1) for n, side in zip(seen, (positive, unlabelled)))
-    odds = rate_p / rate_u
-    used = np.flatnonzero((seen[0] >= SUPPORT) & (odds >= FACTOR) | (seen[1] >= SUPPORT) & (odds <= 1 / FACTOR))
+    odds = np.log(rate_p / rate_u)
+    used = np.flatnonzero((seen[0] + seen[1] >= SUPPORT) & (np.abs(odds) >= ERRORS * np.sqrt(1 / (seen[0] + 0.5) + 1 / (seen[1] + 0.5))))
     if not len(used):
         return weights, float(np.log(max(prior, 1e-9) / max(1 - prior, 1e-9)))
     place = np.full(BUCKETS, -1)
