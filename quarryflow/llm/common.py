@@ -27,10 +27,15 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{os.path.join(tempfile.gettempdir(), 'checkpoints')}"
 
 
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A new folder name in the shared folder."""
+    return f"{shared_dir(spark)}/quarryflow-{uuid.uuid4().hex}/{tag}"
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Writes ``df`` once as Parquet in the shared folder and returns a reader of it: later uses neither
     recompute it nor depend on the executors that made it."""
-    path = f"{shared_dir(df.sparkSession)}/quarryflow-{uuid.uuid4().hex}/{tag}"
+    path = scratch(df.sparkSession, tag)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

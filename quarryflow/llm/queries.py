@@ -10,7 +10,7 @@ from .common import table as t
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import chat, decontam, packing, pii, quality, simhash, toxicity
+    from . import chat, decontam, packing, pii, quality, simhash, toxicity, warc
 
     return {
         "op1_pii": lambda s, d: pii.op1_pii(t(s, d, "documents")),
@@ -18,12 +18,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_simhash": lambda s, d: simhash.op3_simhash(t(s, d, "documents")),
         "op5_packing": lambda s, d: packing.op5_packing(t(s, d, "documents")),
         "op6_quality": lambda s, d: quality.op6_quality(t(s, d, "documents"), t(s, d, "labels")),
+        "op7_warc": lambda s, d: warc.op7_warc(t(s, d, "pages")),
         "op9_chat": lambda s, d: chat.op9_chat(t(s, d, "conversations")),
         "op10_decontam": lambda s, d: decontam.op10_decontam(t(s, d, "documents"), t(s, d, "benchmark")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import chat
+    from . import chat, warc
 
-    return {"op9_chat": chat.ORACLE}
+    return {"op7_warc": warc.ORACLE, "op9_chat": chat.ORACLE}
