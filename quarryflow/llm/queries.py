@@ -10,7 +10,7 @@ from .common import table as t
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import chat, decontam, packing, pii, quality, simhash, toxicity, warc
+    from . import chat, decontam, digest, packing, pii, quality, simhash, toxicity, warc
 
     return {
         "op1_pii": lambda s, d: pii.op1_pii(t(s, d, "documents")),
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_packing": lambda s, d: packing.op5_packing(t(s, d, "documents")),
         "op6_quality": lambda s, d: quality.op6_quality(t(s, d, "documents"), t(s, d, "labels")),
         "op7_warc": lambda s, d: warc.op7_warc(t(s, d, "pages")),
+        "op8_digest": lambda s, d: digest.op8_digest(t(s, d, "documents")),
         "op9_chat": lambda s, d: chat.op9_chat(t(s, d, "conversations")),
         "op10_decontam": lambda s, d: decontam.op10_decontam(t(s, d, "documents"), t(s, d, "benchmark")),
     }
