@@ -10,12 +10,13 @@ from .common import table as t
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import chat, decontam, digest, packing, pii, quality, simhash, toxicity, warc
+    from . import chat, decontam, digest, packing, pii, quality, repeats, simhash, toxicity, warc
 
     return {
         "op1_pii": lambda s, d: pii.op1_pii(t(s, d, "documents")),
         "op2_toxicity": lambda s, d: toxicity.op2_toxicity(t(s, d, "documents"), t(s, d, "labels")),
         "op3_simhash": lambda s, d: simhash.op3_simhash(t(s, d, "documents")),
+        "op4_repeats": lambda s, d: repeats.op4_repeats(t(s, d, "documents")),
         "op5_packing": lambda s, d: packing.op5_packing(t(s, d, "documents")),
         "op6_quality": lambda s, d: quality.op6_quality(t(s, d, "documents"), t(s, d, "labels")),
         "op7_warc": lambda s, d: warc.op7_warc(t(s, d, "pages")),
