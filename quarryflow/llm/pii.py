@@ -50,7 +50,6 @@ CONTEXT = {
     "ssn": (0.4, "ssn|social|security|tax", "order|serial|part"),
     "secret": (0.9, "key|secret|password|token|aws", "sample"),
 }
-_ZERO = F.lit(0)
 
 
 def _digits(x: Column) -> Column:
@@ -66,7 +65,7 @@ def luhn(digits: Column) -> Column:
         twice = F.when(d >= 5, d * 2 - 9).otherwise(d * 2)
         return total + F.when((n - k) % 2 == 1, twice).otherwise(d)
 
-    return F.aggregate(F.sequence(F.lit(1), n), _ZERO, add) % 10 == 0
+    return F.aggregate(F.sequence(F.lit(1), n), F.lit(0), add) % 10 == 0
 
 
 def mod97(iban: Column) -> Column:
@@ -77,7 +76,7 @@ def mod97(iban: Column) -> Column:
         c = F.ascii(F.substring(turned, k, F.lit(1)))
         return F.when(c < 58, (rest * 10 + c - 48) % 97).otherwise((rest * 100 + c - 55) % 97)
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(turned)), _ZERO, step) == 1
+    return F.aggregate(F.sequence(F.lit(1), F.length(turned)), F.lit(0), step) == 1
 
 
 def _confirmed(kind: str, base: bool, m: Column) -> Column:
@@ -113,7 +112,7 @@ def _between(kind: str, base: bool, matches: Column, gaps: Column) -> Column:
         return F.struct(end.alias("at"), spans.alias("spans"))
 
     none = F.array().cast("array<struct<kind:string,start:int,end:int,score:double>>")
-    return F.aggregate(F.sequence(_ZERO, F.size(matches) - 1), F.struct(_ZERO.alias("at"), none.alias("spans")), add, lambda s: s["spans"])
+    return F.aggregate(F.sequence(F.lit(0), F.size(matches) - 1), F.struct(F.lit(0).alias("at"), none.alias("spans")), add, lambda s: s["spans"])
 
 
 _SPANS = "array<struct<kind:string,start:int,end:int,score:double>>"
@@ -124,7 +123,7 @@ def _find(text: Column, kind: str, base: bool, pattern: str, test: str) -> Colum
     may = text.rlike(pattern)
     if test:
         may = F.when(F.contains(text, F.lit(test)), may).otherwise(False)
-    found = _between(kind, base, F.regexp_extract_all(text, F.lit(pattern), _ZERO), F.split(text, pattern, -1))
+    found = _between(kind, base, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1))
     return F.when(may, found).otherwise(F.array().cast(_SPANS))
 
 
@@ -171,8 +170,7 @@ def op1_pii(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with every span's text replaced by its kind in brackets; overlapping spans become one, of the first's kind."""
-    columns = docs.columns
-    found = detect(docs, text)
+    found = detect(docs.select(F.struct("*").alias("_row"), F.col(text).alias("_text")), "_text")
     by_start = F.array_sort(F.transform(F.concat("base", "more"), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
     none = F.array().cast("array<struct<start:int,end:int,kind:string>>")
 
@@ -182,7 +180,7 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
         more = F.concat(F.slice(state, F.lit(1), F.size(state) - 1), F.array(joined))
         return F.when(F.size(state) == 0, F.array(x)).when(F.get(state, F.size(state) - 1)["end"] > x["start"], more).otherwise(F.concat(state, F.array(x)))
 
-    whole = F.col(text)
+    whole = F.col("_text")
     found = found.withColumn("_cuts", F.when(F.size("base") + F.size("more") > 0, F.aggregate(by_start, none, merge)))
     cuts = F.col("_cuts")
 
@@ -192,4 +190,5 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
 
     tail = F.substring(whole, F.element_at(cuts, -1)["end"] + 1, F.length(whole))
     changed = F.concat(F.array_join(F.transform(cuts, piece), ""), tail)
-    return found.withColumn(text, F.when(cuts.isNotNull(), changed).otherwise(whole)).select(*columns)
+    new = F.when(cuts.isNotNull(), changed).otherwise(whole)
+    return found.select(*(new.alias(c) if c == text else F.col("_row")[c].alias(c) for c in docs.columns))

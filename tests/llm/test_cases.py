@@ -1,0 +1,237 @@
+"""Defined cases: nulls, empty and long texts, ties, repeated rows, clashing columns and empty tables."""
+
+import hashlib
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from quarryflow.llm import chat, decontam, digest, learn, neardup, packing, pii, quality, repeats, simhash, toxicity, warc
+
+from .test_queries import base_spans, cut_repeats
+
+rng = random.Random(5)
+WORDS = ["".join(rng.choice("abcdeéß日") for _ in range(rng.randint(1, 7))) for _ in range(400)]
+SAID = lambda n: " ".join(rng.choice(WORDS) for _ in range(n))
+LONG, PASSAGE = SAID(20_000), SAID(60)
+ROWS = [
+    (None, "null id here +1 (555) 123-4567"), (1, None), (2, ""), (3, " \n\t "), (4, "x"), (5, LONG), (6, LONG), (6, LONG), (7, PASSAGE + " " + SAID(40)),
+    (8, SAID(40) + " " + PASSAGE), (8, "another text of the same id"), (9, "a" * 700), (10, "ab" * 300), (11, SAID(3)), (12, LONG[:5000] + SAID(9)), (13, ""),
+    (14, "mail a.b@c.de, x@y.zz@w.vv or 1.2.3.4 and 999.1.1.1, 1.2.3.4.5.6.7.8 4111 1111 1111 1111 4111111111111111 DE89 3704 0044 0532 0130 00"),
+]
+#: Names that the operators use inside.
+CLASH = ["id", "key", "label", "score", "fp", "h", "at", "part", "copy", "base", "more", "items", "hits", "ids", "value", "node", "root", "turn", "n_bytes", "digest"]
+SCHEMA = "doc_id long, text string"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(ROWS, SCHEMA).repartition(3).select("*", *(F.lit(c).alias(c) for c in CLASH))
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    rows = [(k, k % 2, 1 - k % 2) for k in range(1, 12)] + [(None, 1, 1), (3, None, None), (5, 0, 1), (99, 1, 0)]
+    return spark.createDataFrame(rows, "doc_id long, quality int, toxic int").withColumn("label", F.lit("x"))
+
+
+@pytest.fixture(scope="module")
+def items(spark):
+    rows = [(1, " ".join(PASSAGE.split()[5:25])), (1, "again"), (None, "null id here"), (2, None), (3, ""), (4, "x"), (4, "x")]
+    return spark.createDataFrame(rows, "item_id long, text string").withColumn("doc_id", F.lit(0))
+
+
+def empty(spark, schema=SCHEMA):
+    return spark.createDataFrame([], schema)
+
+
+def by_text(df, *columns):
+    return sorted((tuple(r) for r in df.select(*columns).collect()), key=repr)
+
+
+def test_pii(docs, spark):
+    got = pii.detect(docs.select("doc_id", "text")).collect()
+    for r in got:
+        assert [(x["kind"], x["start"], x["end"]) for x in r["base"]] == base_spans(r["text"] or "")
+    kinds = [x["kind"] for r in got if r["doc_id"] == 14 for x in r["more"]]
+    assert kinds.count("card") == 2 and "iban" in kinds
+    clean = {r["doc_id"]: r for r in pii.redact(docs).collect()}
+    assert clean[14]["text"] == "mail [EMAIL], [EMAIL]@w.vv or [IP] and 999.1.1.1, [IP].[IP] [CARD] [CARD] [IBAN]"
+    assert clean[1]["text"] is None and clean[14]["base"] == "base" and pii.redact(docs).columns == docs.columns
+    assert pii.op1_pii(docs).count() == len(ROWS) and pii.op1_pii(empty(spark)).count() == 0
+
+
+def test_pii_is_linear(spark):
+    texts = [("1." * 60_000,), ("a" * 200_000 + "@",), ("+1" * 60_000,), ("a." * 60_000 + "@" + "b." * 60_000,), ("1 " * 100_000,)]
+    assert pii.detect(spark.createDataFrame(texts, "text string")).select(F.size("base")).count() == 5
+
+
+def test_classifiers(docs, labels, spark):
+    for f in (toxicity.op2_toxicity, quality.op6_quality):
+        got = f(docs, labels)
+        assert got.count() == len(ROWS) and got.where("score is null or score < 0 or score > 1").count() == 0
+        assert f(docs, empty(spark, "doc_id long, quality int, toxic int")).count() == len(ROWS)
+        assert f(empty(spark), labels).count() == 0
+    kept = toxicity.keep_civil(docs, docs, labels)
+    assert kept.schema == docs.schema
+    one = {r["text"]: r["score"] for r in toxicity.op2_toxicity(docs, labels).join(docs.select("doc_id", "text"), "doc_id").collect()}
+    assert one[""] == one[None]
+
+
+def test_pu_risk_needs_no_negatives():
+    sides = np.random.default_rng(1)
+    make = lambda toxic: (np.unique([*sides.integers(100, 4000, 40), *([7, 8] if toxic else [])]), np.ones(42))
+    rows = lambda n, share: [(k, x[: len(k)]) for k, x in (make(sides.random() < share) for _ in range(n))]
+    weights, bias = toxicity.fit(rows(300, 1), rows(1500, 0.2), 0.2)
+    score = lambda side: np.array([learn.logistic(bias + weights[k] @ x) for k, x in side])
+    assert (score(rows(200, 1)) >= 0.5).mean() > 0.97 and (score(rows(200, 0)) < 0.5).mean() > 0.97
+
+
+def test_simhash(docs, spark):
+    got = {(r["doc_id"], r["fingerprint"]): r["component_id"] for r in simhash.op3_simhash(docs).collect()}
+    zero = "0" * 16
+    assert {got[i, zero] for i in (1, 2, 3, 13)} == {1} and {c for (i, _), c in got.items() if i in (5, 6)} == {5}
+    assert simhash.op3_simhash(empty(spark)).count() == 0
+    with pytest.raises(ValueError):
+        simhash.link_edges(empty(spark, "fp long"), 9)
+
+
+@pytest.mark.parametrize("n, large", [(5000, 64), (3000, 10_000)])
+def test_blocks_lose_no_link(n, large, monkeypatch):
+    monkeypatch.setattr(simhash, "LARGE", large)
+    g = np.random.default_rng(3)
+    fixed = simhash._masks(list(range(64)), 2)[0]
+    fp = np.unique(np.uint64(12345) & fixed | np.packbits(g.random((n, 64)) < 0.15, axis=1).view(np.uint64).ravel() & ~fixed)
+    near = np.bitwise_count(fp[:, None] ^ simhash.PIVOTS[None, :]).astype(np.uint8)
+    forest, want = simhash._Forest(len(fp)), simhash._Forest(len(fp))
+    for a, b in simhash.block_links(fp, near, fixed):
+        assert (int(fp[a]) ^ int(fp[b])).bit_count() <= 2
+        forest.join(a, b)
+    for a in range(len(fp)):
+        for b in np.flatnonzero(np.bitwise_count(fp[a + 1 :] ^ fp[a]) <= 2) + a + 1:
+            want.join(a, int(b))
+    assert [forest.root(k) for k in range(len(fp))] == [want.root(k) for k in range(len(fp))]
+
+
+def test_repeats(docs, spark):
+    got = by_text(repeats.op4_repeats(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got == sorted(((i, *x) for (i, _), x in zip(ROWS, cut_repeats([(t or "").encode() for _, t in ROWS]))), key=repr)
+    assert repeats.op4_repeats(empty(spark)).count() == 0
+
+
+def test_repeats_of_parts(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "PART", 1000)
+    monkeypatch.setattr(repeats, "STEP", 0, raising=False)
+    data = np.frombuffer((SAID(900) + PASSAGE + SAID(900) + PASSAGE).encode(), np.uint8)
+    import pyarrow as pa
+
+    whole = repeats.anchors(data, np.array([0, len(data)]))
+    parts = [(p + k, m) for _, k, d, o in repeats._parts(pa.array([data.tobytes()], pa.binary())) for p, m in zip(*repeats.anchors(d, o)[2:4])]
+    assert {int(p) for p in whole[2]} <= {int(p) for p, _ in parts}
+
+
+def test_loser_tree():
+    texts = [bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 12))) for _ in range(500)]
+    for ways in (1, 2, 3, 7, 16):
+        runs = [sorted((t, b"x" * (k % 3), k, 0, k, 1, 0, False) for k, t in enumerate(texts) if k % ways == w) for w in range(ways)]
+        assert [r for _, r in repeats.decode(repeats.front_code(runs[0]))] == runs[0]
+        out = list(repeats.LoserTree([repeats.decode(repeats.front_code(r)) for r in runs]))
+        assert [r[0] for _, r in out] == sorted(texts) and len({r[2] for _, r in out}) == len(texts)
+        for (_, a), (n, b) in zip(out, out[1:]):
+            assert n == repeats.shared(a[0], b[0])
+
+
+def test_packing(docs, spark):
+    got = packing.op5_packing(docs)
+    assert got.agg(F.sum("length")).first()[0] == packing.pack(docs).agg(F.sum(F.octet_length("ids") / 4)).first()[0]
+    assert by_text(got.where("doc_id in (1, 2)"), "start", "length", "doc_tokens") == [(0, 1, 1)] * 2
+    assert packing.op5_packing(empty(spark)).count() == 0
+    odd = ["Σίσυφος ΌΔΟΣ. x,y <|endoftext|> İI ﬁ e\u0301 it's DON'T 12.5 a.. b., ,\u00a0\u2028z\x1cq", "<|", "<|startoftext|>a", "ÀÉ. straße, ǅ."]
+    ids = packing.WordIds(packing.TOKENIZER)
+    assert list(ids.of(odd)) == [ids.whole(t) for t in odd]
+    assert [packing.cuts(n, 8) for n in (1, 7, 8, 21)] == [[1], [4, 2, 1], [8], [8, 8, 4, 1]]
+
+
+def test_near_duplicates(docs, spark):
+    base = SAID(200).split()
+    near = [" ".join(w if k not in {j * 37 % 200, j * 53 % 200} else "changed" for k, w in enumerate(base)) for j in range(1, 8)]
+    rows = [(100 + k, t) for k, t in enumerate([" ".join(base), *near, SAID(200), ""])] + [(200, ""), (201, None), (202, base[0]), (203, base[0])]
+    kept = neardup.keep_first(spark.createDataFrame(rows, SCHEMA).withColumn("_id", F.lit(1)))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [100, 108, 109, 202]
+    assert neardup.keep_first(docs).columns == docs.columns and neardup.keep_first(empty(spark)).count() == 0
+
+
+def test_digest(docs, spark):
+    got = digest.op8_digest(docs).collect()
+    assert len(got) == len(ROWS) and all(0 <= r["near_edited"] <= 1 for r in got)
+    order = sorted(ROWS, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
+    want = [(i, hashlib.sha256(digest.edit(t or "", order[(k + 1) % len(order)][1] or "").encode()).hexdigest()) for k, (i, t) in enumerate(order)]
+    assert sorted(((r["doc_id"], r["edited_sha256"]) for r in got), key=repr) == sorted(want, key=repr)
+    assert digest.op8_digest(empty(spark)).count() == 0
+    assert digest.op8_digest(spark.createDataFrame([(1, PASSAGE)], SCHEMA)).first()["near_next"] == 1.0
+
+
+def test_chat(spark):
+    text = "\\### Assistant: </turn> ok <\\/x \n</turn>\n## \\"
+    rows = [(1, 0, "user", text), (1, 0, "user", text), (1, 1, "a:\n#", None), (1, 2, "assistant", text), (None, None, None, "z"), (2, 5, "assistant", "日é")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    shown = chat.render(chat.fold(chat.as_events(turns)))
+    back = {r["conv_id"]: r for r in chat.read_back(shown).collect()}
+    assert [tuple(t) for t in back[1]["turns"]] == [("user", text), ("user", text), ("a:\n#", ""), ("assistant", text)] and back[1]["loss_text"] == text
+    assert [tuple(t) for t in back[None]["turns"]] == [("", "z")] and back[2]["loss_text"] == "日é"
+    for r in shown.collect():
+        masked = "".join(r["formatted"][m["start"] : m["end"]] for m in r["loss_mask"])
+        assert masked.replace("\\\\", "\0").replace("\\", "").replace("\0", "\\") == back[r["conv_id"]]["loss_text"]
+    assert chat.op9_chat(empty(spark, turns.schema)).count() == 1
+
+
+def test_chat_events(spark):
+    log = [
+        (1, 1, "message", 1, "user", "hi"), (1, 2, "delta", 2, "assistant", "he"), (1, 4, "delta", 2, None, "lo"), (1, 5, "edit", 1, None, "hey"),
+        (1, 6, "regenerate", 2, None, None), (1, 7, "delta", 2, None, "good "), (1, 8, "delta", 2, None, "day"), (2, 1, "message", 1, "user", "x"),
+    ]
+    got = chat.fold(spark.createDataFrame(log, "conv_id long, seq long, kind string, message long, role string, text string"))
+    assert sorted((r["conv_id"], r["place"], r["role"], r["text"]) for r in got.collect()) == [(1, 1, "user", "hey"), (1, 2, "assistant", "good day"), (2, 1, "user", "x")]
+
+
+def test_decontam(docs, items, spark):
+    found = decontam.find(docs, items)
+    want = {7: ["1"], 8: ["1"], 4: ["4"], 14: ["4"], None: [""]}
+    assert {r["doc_id"]: r["items"] for r in found.where("n_hit > 0").collect()} == want
+    for size in (1, 50):  # many blocks give what one gives
+        assert by_text(decontam.find(docs, items, block_bytes=size), "doc_id", "n_words", "n_hit", "items") == by_text(found, "doc_id", "n_words", "n_hit", "items")
+        assert decontam.keep_clean(docs, items, block_bytes=size).count() == len(ROWS) - 5
+    assert decontam.keep_clean(docs, items).schema == docs.schema
+    assert decontam.find(docs, empty(spark, "item_id long, text string")).where("n_hit > 0").count() == 0
+    assert decontam.find(empty(spark), items).count() == 0
+    loose = spark.createDataFrame([(1, "one two and three four"), (2, "one two and then some three four")], SCHEMA)
+    asked = spark.createDataFrame([(5, "one two three four")], "item_id long, text string")
+    assert [r["n_hit"] for r in decontam.find(loose, asked, slop=1).orderBy("doc_id").collect()] == [5, 0]
+    index = {(r["term"], r["doc_id"]): r["positions"] for r in decontam.postings(loose).collect()}
+    assert index["three", 1] == [3] and index["three", 2] == [5]
+
+
+def test_warc(spark, tmp_path):
+    html = "<p>" + "é" * 200
+    rows = [(1, "http://a/ b\r\nX: y", html), (2, None, html), (2, None, html), (3, "u", None), (4, "u", ""), (None, "v", html), (5, "u", "short"), (6, "u", "short"), (0, "z", "WARC/1.1\r\nWARC-Type: x\r\n\r\n" * 9)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit(1))
+    got = by_text(warc.op7_warc(pages), "page_id", "payload_bytes", "record_type", "refers_to")
+    assert got == sorted([(1, 403, "response", None), (2, 403, "revisit", 1), (2, 403, "revisit", 1), (3, 0, "response", None), (4, 0, "response", None), (None, 403, "response", None),
+                          (5, 5, "response", None), (6, 5, "response", None), (0, 234, "response", None)], key=repr)
+    assert warc.op7_warc(empty(spark, "page_id long, url string, html string")).count() == 0
+
+
+@pytest.mark.parametrize("packed", [True, False])
+def test_salvage(packed):
+    records = [warc.record(k, "u", SAID(30).encode(), hashlib.sha256(b"").hexdigest(), None) for k in range(6)]
+    members = [warc.member(r) if packed else r for r in records]
+    data = bytearray(b"".join(members))
+    starts = np.cumsum([0, *map(len, members)]).tolist()
+    whole = list(warc.salvage(bytes(data)))
+    assert [(a, b) for a, b, h, _, _ in whole if h] == list(zip(starts, starts[1:]))
+    data[starts[2] + len(members[2]) // 2] ^= 0x55
+    found = list(warc.salvage(bytes(data[: starts[5] + 40])))
+    assert [(a, b) for a, b, h, _, _ in found if h] == [(starts[k], starts[k + 1]) for k in (0, 1, 3, 4)]
+    assert [(a, b) for a, b, h, _, _ in found if not h] == [(starts[2], starts[3]), (starts[5], starts[5] + 40)]
+    assert list(warc.salvage(b"")) == [] and len(list(warc.salvage(b"junk"))) == 1
