@@ -14,6 +14,10 @@ loser and winner share: a longer shared prefix decides without a look at the byt
 from there on only. Neighbours in the merged order that share ``GRAM`` bytes are one cluster, and in a cluster
 shared suffix and shared left context tell which owned strings repeat. Bytes decide, hashes only propose.
 
+A cluster holds what its anchor's texts differ in, so an anchor of over ``HOT`` places is not clustered: its
+strings are counted one by one under two independent 64-bit hashes, in a reduced count and a join that adaptive
+execution splits. They are as many at any size, only dealt evenly.
+
 Records of a task that are equal to the last byte are settled there, all their strings repeat, and one of
 them is sent on, so a passage of many copies costs one record per task, not one per copy.
 
@@ -42,10 +46,16 @@ LENGTH, GRAM = 200, 64
 #: Substrings of GRAM bytes in a string of LENGTH, of which one is its anchor.
 CHOICE = LENGTH - GRAM + 1
 _PLACE = 24
+#: Places of an anchor that are clustered.
+HOT = 100_000
 #: Bytes of a long text that are hashed at once, and of records that a task sorts into one run.
 PART, RUN = 1 << 22, 16 << 20
 
 
+#: Another alphabet, so that the second hash of a string is not the first's.
+_OTHER = np.random.default_rng(11).permutation(256).astype(np.uint8)
+
+
 def _least(key: np.ndarray, size: int) -> np.ndarray:
     """Least of key[i : i + size] for every i that has so many."""
     have, step = key, 1
@@ -308,6 +318,24 @@ def _send(batches: Iterator[pa.RecordBatch], targets: int) -> Iterator[pa.Record
     yield from rows()
 
 
+def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Two hashes and the place of each string that hot anchors own."""
+    for batch in batches:
+        data, offsets = raw_text(batch.column("text"))
+        for row, (i, sub, places) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("id", "sub", "places")))):
+            text = data[offsets[row] : offsets[row + 1]]
+            packed = np.array(places, np.int64)
+            first, last = (packed >> 16) - (packed >> 8 & 255), (packed >> 16) - (packed & 255)
+            ok = (first >= 0) & (last + LENGTH <= len(text))
+            first, last = first[ok], last[ok]
+            n = last - first + 1
+            begin = np.unique(np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n))
+            hashes = [Spans(x).of(begin, begin + LENGTH).view(np.int64) for x in (text, _OTHER[text])]
+            columns = [*map(pa.array, hashes), pa.array(np.full(len(begin), i)), pa.array(np.full(len(begin), sub, np.int32)), pa.array(begin)]
+            for k in range(0, len(begin), 100_000):
+                yield pa.RecordBatch.from_arrays([c.slice(k, 100_000) for c in columns], ["x", "y", "id", "sub", "begin"])
+
+
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Merges the runs of each target, which come sorted by target, and gives the ranges that repeat."""
     runs: list[bytes] = []
@@ -387,12 +415,17 @@ def remove(docs: DataFrame) -> DataFrame:
     texts = spark.table(name)
 
     found = texts.select("id", "text").mapInArrow(_anchor_rows, "h long, id long, at long")
-    twice = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    places = found.join(twice, "h", "left_semi").groupBy("id").agg(F.collect_list("at").alias("places"))
-    sent = texts.select("id", "sub", "text").join(places, "id").mapInArrow(lambda it: _send(it, buckets), "target int, run binary, " + _RANGE)
+    twice = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h", (F.col("n") > HOT).alias("hot"))
+    places = materialize(found.join(twice, "h").groupBy("id", "hot").agg(F.collect_list("at").alias("places")), "places")
+    usual, hot = (places.where(f"{'' if x else 'not '}hot").select("id", "places") for x in (False, True))
+    sent = texts.select("id", "sub", "text").join(usual, "id").mapInArrow(lambda it: _send(it, buckets), "target int, run binary, " + _RANGE)
     sent = materialize(sent, "runs")
     merged = sent.where("target is not null").select("target", "run").repartition(buckets, "target").sortWithinPartitions("target").mapInArrow(_merge, _RANGE)
     ranges = merged.unionByName(sent.where("target is null").select("id", "sub", "begin", "stop"))
+    if not hot.isEmpty():
+        strings = texts.select("id", "sub", "text").join(hot, "id").mapInArrow(_strings, "x long, y long, id long, sub int, begin long")
+        again = strings.groupBy("x", "y").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+        ranges = ranges.unionByName(strings.join(again, ["x", "y"], "left_semi").select("id", "sub", "begin", (F.col("begin") + LENGTH).alias("stop")))
     ranges = ranges.groupBy("id").agg(F.collect_list(F.struct("sub", "begin", "stop")).alias("ranges"))
     left = texts.select("id", "key", "sub", "text").join(ranges, "id").mapInArrow(_cut, "id long, key binary, n_removed long, n_spans long, kept binary")
 

@@ -9,7 +9,9 @@ of another coordinate a third of the time. So pairs are formed inside blocks. Th
 parts, of which r differing bits leave at least two whole; a block holds the distinct fingerprints that agree
 on one pair of parts. Inside a block the fingerprints are sorted by their first coordinate, and only those
 within r of each other there go on to the other coordinates. A block of over ``LARGE`` fingerprints is cut
-again, by the same rule, on the bits that it leaves free. No pair within the radius is lost at any size.
+again, by the same rule, on the bits that it leaves free; one of over ``HOT`` is cut so before it is dealt, and at
+radius 2 what agrees on two levels of parts has 16 free bits, 65,536 fingerprints at most. No pair within the
+radius is lost at any size.
 
 Only distinct fingerprints are blocked, so copies cost one row. A block gives a spanning forest of its links,
 never its pairs, and components are joined up over the whole table by stars.
@@ -38,6 +40,8 @@ WORDS, RADIUS, SEED, BITS = 3, 2, 42, 64
 PIVOTS = np.array([xxhash.xxh64_intdigest(f"pivot {k}", SEED) for k in range(16)], np.uint64)
 #: Fingerprints of a block that are compared without cutting it again, and pairs that are held at once.
 LARGE, HELD = 2048, 1 << 19
+#: Fingerprints of a block that go to one task.
+HOT = 1 << 16
 
 
 def fingerprint(text: bytes, words: int = WORDS) -> int:
@@ -77,17 +81,34 @@ def _masks(bits: list[int], radius: int) -> list[np.uint64]:
     return [np.uint64(a | b) for a, b in combinations(parts, 2)]
 
 
+def _levels(radius: int) -> tuple[list[np.uint64], list[list[np.uint64]]]:
+    """The blocks' masks, and for each the masks that it is cut by again."""
+    first = _masks(list(range(BITS)), radius)
+    return first, [[m | x for x in _masks([b for b in range(BITS) if not int(m) >> b & 1], radius)] for m in first]
+
+
 def _table(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
     """The pivot table, a row for each block that a fingerprint is in."""
     for batch in batches:
         fp = batch.column("fp").to_numpy().view(np.uint64)
         near = np.bitwise_count(fp[:, None] ^ PIVOTS[None, :]).astype(np.uint8)
         near = pa.array([x.tobytes() for x in near], pa.binary())
-        for k, mask in enumerate(_masks(list(range(BITS)), radius)):
+        for k, mask in enumerate(_levels(radius)[0]):
             n = len(fp)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(n, k, np.int32)), pa.array((fp & mask).view(np.int64)), batch.column("fp"), near], ["part", "block", "fp", "near"])
 
 
+def _cut_again(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
+    """Rows of hot blocks, once for each block that they are cut into; parts of the second level are numbered on."""
+    first, second = _levels(radius)
+    for batch in batches:
+        part, fp = batch.column("part").to_numpy(), batch.column("fp").to_numpy().view(np.uint64)
+        for k in range(len(first)):
+            masks = np.array([own[k] for own in second])[part]
+            number = (len(first) * (part + 1) + k).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(number), pa.array((fp & masks).view(np.int64)), batch.column("fp"), batch.column("near")], ["part", "block", "fp", "near"])
+
+
 class _Forest:
     def __init__(self, n: int):
         self.up = list(range(n))
@@ -144,8 +165,8 @@ def block_links(fp: np.ndarray, near: np.ndarray, fixed: np.uint64, radius: int
 
 def _links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
     """Links of each block; rows come sorted by (part, block), and a block may span batches."""
-    masks = _masks(list(range(BITS)), radius)
-    part, block, fp, near = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.uint64), np.empty((0, len(PIVOTS)), np.uint8)
+    first, second = _levels(radius)
+    masks = [*first, *(m for own in second for m in own)]
     waiting: list[tuple] = []
 
     def links(part, block, fp, near):
@@ -185,7 +206,13 @@ def link_edges(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(u, v): links between the distinct fingerprints ``fp``, at least a spanning forest of each block's."""
     if not 0 <= radius <= 6:
         raise ValueError("the blocks hold enough bits for a radius up to 6")
-    rows = distinct.select("fp").mapInArrow(lambda it: _table(it, radius), "part int, block long, fp long, near binary")
+    shape = "part int, block long, fp long, near binary"
+    rows = distinct.select("fp").mapInArrow(lambda it: _table(it, radius), shape)
+    size = materialize(rows.groupBy("part", "block").agg(F.count("*").alias("n")).where(F.col("n") > HOT).drop("n"), "hot")
+    if not size.isEmpty():
+        rows = rows.join(size, ["part", "block"], "left_anti").select("part", "block", "fp", "near").unionByName(
+            rows.join(size, ["part", "block"], "left_semi").select("part", "block", "fp", "near").mapInArrow(lambda it: _cut_again(it, radius), shape)
+        )
     rows = rows.repartition("part", "block").sortWithinPartitions("part", "block")
     return rows.mapInArrow(lambda it: _links(it, radius), "u long, v long")
 

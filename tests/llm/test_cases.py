@@ -120,9 +120,33 @@ def test_repeats(docs, spark):
     assert repeats.op4_repeats(empty(spark)).count() == 0
 
 
+def test_hot_anchors(docs, monkeypatch):
+    monkeypatch.setattr(repeats, "HOT", 1)
+    got = by_text(repeats.op4_repeats(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got == sorted(((i, *x) for (i, _), x in zip(ROWS, cut_repeats([(t or "").encode() for _, t in ROWS]))), key=repr)
+
+
+def test_hot_blocks(spark, monkeypatch):
+    g = np.random.default_rng(4)
+    fp = np.unique(np.packbits(g.random((1500, 64)) < 0.04, axis=1).view(np.int64).ravel())
+    df = spark.createDataFrame([(int(x),) for x in fp], "fp long")
+    place, parts = {int(x): k for k, x in enumerate(fp)}, []
+    for hot in (1 << 16, 20):
+        monkeypatch.setattr(simhash, "HOT", hot)
+        forest = simhash._Forest(len(fp))
+        for r in simhash.link_edges(df).collect():
+            assert ((r["u"] ^ r["v"]) & (1 << 64) - 1).bit_count() <= 2
+            forest.join(place[r["u"]], place[r["v"]])
+        parts.append([forest.root(k) for k in range(len(fp))])
+    want = simhash._Forest(len(fp))
+    for k in range(len(fp)):
+        for j in np.flatnonzero(np.bitwise_count((fp[k + 1 :] ^ fp[k]).view(np.uint64)) <= 2) + k + 1:
+            want.join(k, int(j))
+    assert parts[0] == parts[1] == [want.root(k) for k in range(len(fp))]
+
+
 def test_repeats_of_parts(spark, monkeypatch):
     monkeypatch.setattr(repeats, "PART", 1000)
-    monkeypatch.setattr(repeats, "STEP", 0, raising=False)
     data = np.frombuffer((SAID(900) + PASSAGE + SAID(900) + PASSAGE).encode(), np.uint8)
     import pyarrow as pa
 
