@@ -262,3 +262,18 @@ def op10_decontam(docs: DataFrame, items: DataFrame) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
     )
 
+
+
+_SQL_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+ORACLE = f"""with it as (select cast(item_id as varchar) as id, {_SQL_WORDS} as w from benchmark),
+iw as (select distinct id, least(10, len(w)) as n, array_to_string(list_slice(w, i, i + least(10, len(w)) - 1), ' ') as p
+  from (select id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) as i from it where len(w) > 0)),
+d as (select doc_id, {_SQL_WORDS} as w from documents),
+dw as (select doc_id, n, i, array_to_string(list_slice(w, i, i + n - 1), ' ') as p
+  from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as i from d cross join (select distinct n from iw) where len(w) >= n)),
+hit as (select dw.doc_id, dw.i, dw.n, iw.id from dw join iw on dw.p = iw.p and dw.n = iw.n),
+h as (select doc_id, count(distinct j) as n_hit from (select doc_id, unnest(range(i, i + n)) as j from hit) group by doc_id),
+x as (select doc_id, count(*) as n_items, string_agg(id, ',' order by id) as ids from (select distinct doc_id, id from hit) group by doc_id)
+select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+  sha256(coalesce(ids, '')) as items_sha256, n_hit is not null as contaminated
+from d left join h on d.doc_id = h.doc_id left join x on d.doc_id = x.doc_id"""

@@ -27,6 +27,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import chat, warc
+    from . import chat, decontam, warc
 
-    return {"op7_warc": warc.ORACLE, "op9_chat": chat.ORACLE}
+    return {"op7_warc": warc.ORACLE, "op9_chat": chat.ORACLE, "op10_decontam": decontam.ORACLE}
