@@ -63,9 +63,9 @@ class Phrases:
         owners = [sorted(x) for x in found.values()]
         self.owner_first = np.concatenate(([0], np.cumsum([len(x) for x in owners], dtype=np.int64))).astype(np.int64)
         self.owners = np.array([x for o in owners for x in o], np.int64)
-        flat = np.frombuffer(b"".join(self.words), np.uint8)
-        bounds = np.concatenate(([0], np.cumsum([len(w) for w in self.words], dtype=np.int64))).astype(np.int64)
-        hashes = Spans(flat).of(bounds[:-1], bounds[1:])
+        self.flat = np.frombuffer(b"".join(self.words), np.uint8)
+        self.bounds = np.concatenate(([0], np.cumsum([len(w) for w in self.words], dtype=np.int64))).astype(np.int64)
+        hashes = Spans(self.flat).of(self.bounds[:-1], self.bounds[1:])
         self.order = np.argsort(hashes, kind="stable")
         self.hashes = hashes[self.order]
         self.maybe = np.zeros(1 << 20, bool)
@@ -79,8 +79,16 @@ class Phrases:
         h = Spans(low).of(begins, ends)
         some = np.flatnonzero(self.maybe[(h & np.uint64((1 << 20) - 1)).astype(np.int64)])
         at = np.minimum(np.searchsorted(self.hashes, h[some]), len(self.hashes) - 1)
-        same = self.hashes[at] == h[some]
-        out[some[same]] = self.order[at[same]]
+        term = self.order[at]
+        size = ends[some] - begins[some]
+        same = (self.hashes[at] == h[some]) & (size == self.bounds[term + 1] - self.bounds[term])
+        some, term, size = some[same], term[same], size[same]
+        if len(some):  # the bytes decide
+            first = np.cumsum(size) - size
+            step = np.arange(size.sum()) - np.repeat(first, size)
+            differ = low[np.repeat(begins[some], size) + step] != self.flat[np.repeat(self.bounds[term], size) + step]
+            same = np.add.reduceat(differ, first, dtype=np.int64) == 0
+            out[some[same]] = term[same]
         return out
 
 

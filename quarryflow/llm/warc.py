@@ -119,8 +119,8 @@ def _parse(data: bytes, at: int, alone: bool) -> tuple[dict[str, str], bytes, in
 def _inflate(data: bytes, at: int) -> tuple[bytes, int]:
     z, out, k = zlib.decompressobj(31), [], at
     while not z.eof and k < len(data):
-        out.append(z.decompress(data[k : k + 65536]))
-        k += 65536
+        out.append(z.decompress(data[k : k + 8192]))
+        k += 8192
     if not z.eof:
         raise ValueError("member cut short")
     return b"".join(out), min(k, len(data)) - len(z.unused_data)
