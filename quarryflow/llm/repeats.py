@@ -79,7 +79,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     inside = start + LENGTH <= offsets[row + 1]
     at, start, row = at[inside], start[inside], row[inside]
     new = np.flatnonzero(np.diff(at, prepend=-1) != 0)
-    last = np.append(new[1:], len(at)) - 1
+    last = np.append(new[1:], len(at))[: len(new)] - 1
     return row[new], h[at[new]], at[new] - offsets[row[new]], at[new] - start[new], at[new] - start[last]
 
 
