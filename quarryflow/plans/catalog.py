@@ -319,7 +319,11 @@ def session_windows(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select time_bucket(interval '1 day', ts) as start, event_type, count(*) as n from events group by 1, 2")
 def streamed_counts(spark: SparkSession, d: str) -> DataFrame:
-    folder = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "checkpoints")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = os.path.join(tempfile.gettempdir(), "checkpoints")
     name = f"streamed_{uuid.uuid4().hex}"
     out = stream.drain(stream.windowed(stream.source(spark, d), "1 day", "1 hour"), name, f"{folder}/{name}", "complete")
     return out.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n")
