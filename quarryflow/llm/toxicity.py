@@ -25,7 +25,7 @@ from .learn import BUCKETS, bucket, gather, held_out, keep_below, logistic, samp
 #: Most confirmed toxic rows, and most rows of any kind, that the model is fitted on.
 POSITIVES, UNLABELLED = 2000, 4000
 #: A feature is used if so many rows have it and the log of its rates' ratio is so many standard errors from zero.
-SUPPORT, ERRORS = 4, 4.0
+SUPPORT, ERRORS = 4, 6.0
 ITERATIONS, RATE, DECAY = 300, 0.1, 1e-4
 
 _LOWER = np.arange(256, dtype=np.uint8)
