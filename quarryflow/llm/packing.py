@@ -16,6 +16,7 @@ doc_id is kept. ``sequence_id`` is unique in a result and grows with the table's
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 from functools import lru_cache
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 TOKENIZER, LENGTH, END = "word_bpe_49k.json", 2048, 1
 #: Words whose ids a worker keeps.
-KEPT = 600_000
+KEPT = 1_200_000
 #: Characters of text whose words are encoded together.
 TOGETHER = 1 << 21
 
@@ -44,10 +45,25 @@ class WordIds:
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.mark = special[-1] if special else None
         self.mark_id = self.tokenizer.token_to_id(self.mark) if self.mark else None
+        ends = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that end a word
+        if ends:
+            self.last[[i for t, i in vocabulary.items() if t.endswith(ends)]] = True
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _encode_letters(self, words: list[str]) -> bool:
+        """Words of letters only, which the tokenizer leaves whole, in one call: a word ends with its last kind of token."""
+        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(words):
+            return False
+        raw, begins = ids.tobytes(), [0, *ends.tolist()]
+        self.known.update((w, raw[4 * a : 4 * b]) for w, a, b in zip(words, begins, begins[1:]))
+        return True
+
     def _encode(self, words: list[str]) -> None:
         """Words without the mark, in one call: the mark between them shows where each ends."""
         ids = np.array(self.tokenizer.encode(self.mark.join(words), add_special_tokens=False).ids, "<u4")
@@ -70,6 +86,9 @@ class WordIds:
         if self.mark is None or any(self.mark[:2] in w for w in plain):
             self.known.update((w, self.whole(w)) for w in plain if self.mark is None or self.mark[:2] in w)
             plain = [w for w in plain if w not in self.known]
+        letters = [w for w in plain if w.isalpha() and max(w) < "İ"]
+        if letters and self._encode_letters(letters):
+            plain = [w for w in plain if w not in self.known]
         if plain:
             self._encode(plain)
         self.known.update((w, self.known[low] + self.known[tail]) for w, low, tail in made)
