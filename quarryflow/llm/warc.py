@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch
+from .common import materialize, scratch
 
 #: Payloads under so many bytes are never revisits; records in one file; bytes of a record's headers that are searched.
 LEAST, PER_FILE, HEADERS = 100, 5000, 1 << 16
@@ -44,8 +44,8 @@ def assign(pages: DataFrame, least: int = LEAST) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), html.alias("html"))
     rows = rows.withColumn("digest", F.sha2("html", 256)).withColumn("size", F.octet_length("html").cast("long"))
     known = rows.where(F.col("size") >= least).select("page_id", "digest")
-    first = known.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1")
-    later = known.join(first.drop("n"), "digest").where("page_id > refers_to").distinct()
+    first = materialize(known.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n"), "first")
+    later = known.join(first, "digest").where("page_id > refers_to").distinct()
     return rows.join(later, ["page_id", "digest"], "left")
 
 
