@@ -415,7 +415,8 @@ def remove(docs: DataFrame) -> DataFrame:
     texts = spark.table(name)
 
     found = texts.select("id", "text").mapInArrow(_anchor_rows, "h long, id long, at long")
-    twice = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h", (F.col("n") > HOT).alias("hot"))
+    # counts are written before they are joined: adaptive execution splits a hot key only between two plain exchanges
+    twice = materialize(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h", (F.col("n") > HOT).alias("hot")), "twice")
     places = materialize(found.join(twice, "h").groupBy("id", "hot").agg(F.collect_list("at").alias("places")), "places")
     usual, hot = (places.where(f"{'' if x else 'not '}hot").select("id", "places") for x in (False, True))
     sent = texts.select("id", "sub", "text").join(usual, "id").mapInArrow(lambda it: _send(it, buckets), "target int, run binary, " + _RANGE)
@@ -424,13 +425,13 @@ def remove(docs: DataFrame) -> DataFrame:
     ranges = merged.unionByName(sent.where("target is null").select("id", "sub", "begin", "stop"))
     if not hot.isEmpty():
         strings = texts.select("id", "sub", "text").join(hot, "id").mapInArrow(_strings, "x long, y long, id long, sub int, begin long")
-        again = strings.groupBy("x", "y").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+        again = materialize(strings.groupBy("x", "y").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "again")
         ranges = ranges.unionByName(strings.join(again, ["x", "y"], "left_semi").select("id", "sub", "begin", (F.col("begin") + LENGTH).alias("stop")))
     ranges = ranges.groupBy("id").agg(F.collect_list(F.struct("sub", "begin", "stop")).alias("ranges"))
     left = texts.select("id", "key", "sub", "text").join(ranges, "id").mapInArrow(_cut, "id long, key binary, n_removed long, n_spans long, kept binary")
 
     own = rows.select("doc_id", "id", "key", "n_bytes")
-    copies = own.where(F.col("n_bytes") >= LENGTH).groupBy("id", "key").agg(F.count("*").alias("copies")).where("copies > 1")
+    copies = materialize(own.where(F.col("n_bytes") >= LENGTH).groupBy("id", "key").agg(F.count("*").alias("copies")).where("copies > 1"), "copies")
     out = own.join(copies, ["id", "key"], "left").join(left, ["id", "key"], "left")
     gone, cut = F.col("copies").isNotNull(), F.col("n_removed") > 0
     return out.select(
