@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, scratch
 
-#: Payloads under so many bytes are never revisits; records in one file; bytes of a record's headers that are searched.
+#: Payloads under so many bytes are never revisits; records in one file; bytes of headers that are searched where no member bounds them.
 LEAST, PER_FILE, HEADERS = 100, 5000, 1 << 16
 DATE = "1970-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -94,7 +94,7 @@ def _next(data: bytes, at: int) -> int:
 
 def _parse(data: bytes, at: int, alone: bool) -> tuple[dict[str, str], bytes, int]:
     """Headers, block and end of the record at ``at``; ValueError says which check failed."""
-    stop = data.find(_END, at, at + HEADERS)
+    stop = data.find(_END, at, len(data) if alone else at + HEADERS)  # a member of its own bounds its headers
     if not data.startswith(_VERSION, at) or stop < 0:
         raise ValueError("no record header")
     lines = data[at:stop].decode("utf-8", "replace").split("\r\n")

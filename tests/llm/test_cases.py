@@ -259,3 +259,8 @@ def test_salvage(packed):
     assert [(a, b) for a, b, h, _, _ in found if h] == [(starts[k], starts[k + 1]) for k in (0, 1, 3, 4)]
     assert [(a, b) for a, b, h, _, _ in found if not h] == [(starts[2], starts[3]), (starts[5], starts[5] + 40)]
     assert list(warc.salvage(b"")) == [] and len(list(warc.salvage(b"junk"))) == 1
+
+
+def test_warc_keeps_pages_of_long_urls(spark):
+    pages = spark.createDataFrame([(1, "data:," + "x" * 100_000, "<p>"), (2, "u", "<p>")], "page_id long, url string, html string")
+    assert sorted(r["page_id"] for r in warc.op7_warc(pages).collect()) == [1, 2]
