@@ -8,7 +8,8 @@ beginnings of 4 to 6 bytes; a score sums the weights of a text's distinct words.
 
 The model is fitted on at most ``POSITIVES`` and ``UNLABELLED`` rows outside the held-out fold (smallest id
 hashes), of which only features that set the two sides apart are kept; every row is scored over its whole
-text. Defined cases: a null or empty text gets the model's bias; labels that are null or without a document
+text. Features are 32-bit hashes, of which the kept ones are a sorted vocabulary: any other word weighs nothing
+instead of sharing a bucket with a kept one. Defined cases: a null or empty text gets the model's bias; labels that are null or without a document
 are ignored; of labels that repeat an id the largest counts; with no positives every score is 0; repeated
 rows are answered one by one; other columns are ignored.
 """
@@ -20,12 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Spans, mix, runs
-from .learn import BUCKETS, bucket, gather, held_out, keep_below, logistic, sample, score
+from .learn import gather, held_out, keep_below, logistic, sample, score
 
 #: Most confirmed toxic rows, and most rows of any kind, that the model is fitted on.
 POSITIVES, UNLABELLED = 2000, 4000
 #: A feature is used if so many rows have it and the log of its rates' ratio is so many standard errors from zero.
-SUPPORT, ERRORS = 4, 6.0
+SUPPORT, ERRORS = 4, 4.0
 ITERATIONS, RATE, DECAY = 300, 0.1, 1e-4
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -34,6 +35,14 @@ _WORD = np.zeros(256, bool)
 _WORD[0x30:0x3A] = _WORD[0x41:0x5B] = _WORD[0x61:0x7B] = _WORD[0x80:] = True
 
 
+#: A feature is so many bits of a hash.
+_BITS = np.uint64((1 << 32) - 1)
+
+
+def bucket(h: np.ndarray) -> np.ndarray:
+    return (h & _BITS).astype(np.int64)
+
+
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     begins, ends, first = runs(_WORD[data], offsets)
     spans = Spans(_LOWER[data])
@@ -49,23 +58,40 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return found.ravel(), first * 4, np.diff(first)
 
 
-def fit(positive: list[tuple[np.ndarray, np.ndarray]], unlabelled: list[tuple[np.ndarray, np.ndarray]], prior: float) -> tuple[np.ndarray, float]:
-    """Weights and bias of the classifier whose non-negative PU risk is least. Rows are (buckets, counts)."""
-    weights = np.zeros(BUCKETS)
+class Weights:
+    """Weights by feature: of a sorted vocabulary's own, and 0 of any other."""
+
+    def __init__(self, vocabulary: np.ndarray, own: np.ndarray):
+        self.vocabulary, self.own = vocabulary, own
+
+    def __getitem__(self, found: np.ndarray) -> np.ndarray:
+        if not len(self.vocabulary):
+            return np.zeros(len(found), self.own.dtype)
+        at = np.minimum(np.searchsorted(self.vocabulary, found), len(self.vocabulary) - 1)
+        return np.where(self.vocabulary[at] == found, self.own[at], 0)
+
+    def astype(self, kind: type) -> Weights:
+        return Weights(self.vocabulary, self.own.astype(kind))
+
+
+def fit(positive: list[tuple[np.ndarray, np.ndarray]], unlabelled: list[tuple[np.ndarray, np.ndarray]], prior: float) -> tuple[Weights, float]:
+    """Weights and bias of the classifier whose non-negative PU risk is least. Rows are (features, counts)."""
+    none = Weights(np.empty(0, np.int64), np.empty(0))
     if not positive or not unlabelled:
-        return weights, -40.0
-    seen = [np.bincount(np.concatenate([k for k, _ in side]), minlength=BUCKETS) for side in (positive, unlabelled)]
+        return none, -40.0
+    all_features = np.unique(np.concatenate([k for k, _ in (*positive, *unlabelled)]))
+    seen = [np.bincount(np.searchsorted(all_features, np.concatenate([k for k, _ in side])), minlength=len(all_features)) for side in (positive, unlabelled)]
     rate_p, rate_u = ((n + 0.5) / (len(side) + 1) for n, side in zip(seen, (positive, unlabelled)))
     odds = np.log(rate_p / rate_u)
     used = np.flatnonzero((seen[0] + seen[1] >= SUPPORT) & (np.abs(odds) >= ERRORS * np.sqrt(1 / (seen[0] + 0.5) + 1 / (seen[1] + 0.5))))
     if not len(used):
-        return weights, float(np.log(max(prior, 1e-9) / max(1 - prior, 1e-9)))
-    place = np.full(BUCKETS, -1)
+        return none, float(np.log(max(prior, 1e-9) / max(1 - prior, 1e-9)))
+    place = np.full(len(all_features), -1)
     place[used] = np.arange(len(used))
 
     def matrix(side):
         r = np.repeat(np.arange(len(side)), [len(k) for k, _ in side])
-        c, x = place[np.concatenate([k for k, _ in side])], np.concatenate([n for _, n in side])
+        c, x = place[np.searchsorted(all_features, np.concatenate([k for k, _ in side]))], np.concatenate([n for _, n in side])
         ok = c >= 0
         return r[ok], c[ok], np.minimum(x[ok], 3.0), len(side)
 
@@ -94,11 +120,10 @@ def fit(positive: list[tuple[np.ndarray, np.ndarray]], unlabelled: list[tuple[np
         grown_b += gb * gb
         w -= RATE * g / np.sqrt(grown)
         b -= RATE * gb / np.sqrt(grown_b)
-    weights[used] = w
-    return weights, float(b)
+    return Weights(all_features[used], w), float(b)
 
 
-def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> tuple[np.ndarray, float]:
+def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> tuple[Weights, float]:
     known = labels.where(F.col(column).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max(F.col(column).cast("int")).alias("label"))
     prior = known.agg(F.avg("label")).first()[0] or 0.0
