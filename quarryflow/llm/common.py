@@ -22,7 +22,7 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return f"file://{os.path.join(tempfile.gettempdir(), 'checkpoints')}"
 
@@ -40,6 +40,21 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, tag: str, by: str) -> DataFrame:
+    """Writes ``df`` once, dealt and bucketed by a column of even values: later joins by it do not move these rows again.
+
+    The catalog names the table only until the reader is made; the files are external and stay as scratch.
+    """
+    spark = df.sparkSession
+    n, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"quarryflow_{uuid.uuid4().hex}"
+    written = df.repartition(n, by).write.format("parquet").option("compression", "zstd").option("path", scratch(spark, tag))
+    written.bucketBy(n, by).saveAsTable(name)
+    out = spark.table(name)
+    out.schema  # resolved now
+    spark.sql(f"drop table {name}")
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables. Workers import this package from where the driver has it, unless it is installed there."""
     home, known = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment.get("PYTHONPATH", "")
@@ -71,6 +86,26 @@ def steps(column: pa.Array, limit: int = STEP_BYTES) -> Iterator[tuple[int, int,
         first = last
 
 
+def pieces(data: np.ndarray, member: np.ndarray, keep: int, limit: int = STEP_BYTES) -> Iterator[tuple[np.ndarray, int]]:
+    """Cuts one row's bytes into parts of at most ``limit`` bytes, each after the ``keep`` words before it: (bytes, how many
+    of its first words came before). ``member`` tells the bytes of words. Cuts fall between words; only a word of over
+    half of ``limit`` bytes may be cut, at a place that its row alone decides."""
+    at, known, before = 0, 0, np.empty(0, np.uint8)
+    while True:
+        stop = min(len(data), at + limit)
+        if stop < len(data) and len(edge := np.flatnonzero(~member[data[at + limit // 2 : stop]])):
+            stop = at + limit // 2 + int(edge[-1]) + 1
+        part = np.concatenate((before, data[at:stop]))
+        yield part, known
+        if stop == len(data):
+            return
+        begins, _, _ = runs(member[part], np.array([0, len(part)]))
+        known, at = min(keep, len(begins)), stop
+        before = part[begins[-known] :] if known else part[:0]
+        if known and member[part[-1]]:  # a word was cut: what follows is another
+            before = np.append(before, np.uint8(0x20))
+
+
 def runs(member: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Maximal runs of True inside rows: their starts, their ends, and the first run of each row (and one past the last)."""
     n = len(member)

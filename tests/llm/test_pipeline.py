@@ -81,9 +81,8 @@ def test_odd_rows(spark, tmp_path):
 
 def first_of_odd():
     """One row of each group, the null id being the smallest; ids that repeat are told apart by text."""
-    rows = [(k, t or "") for k, (_, t) in enumerate(sorted(ROWS, key=lambda r: (-1 if r[0] is None else r[0], r[1] or "")))]
-    order = sorted(ROWS, key=lambda r: (-1 if r[0] is None else r[0], r[1] or ""))
-    return [order[k][0] for k in first_of_groups(rows)]
+    order = sorted(set(ROWS), key=lambda r: (-1 if r[0] is None else r[0], r[1] or ""))
+    return [order[k][0] for k in first_of_groups([(k, t or "") for k, (_, t) in enumerate(order)])]
 
 
 def test_toxic_rows_go(spark):
