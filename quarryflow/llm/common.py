@@ -32,11 +32,11 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/quarryflow-{uuid.uuid4().hex}/{tag}"
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+def materialize(df: DataFrame, tag: str, compression: str = "snappy") -> DataFrame:
     """Writes ``df`` once as Parquet in the shared folder and returns a reader of it: later uses neither
     recompute it nor depend on the executors that made it."""
     path = scratch(df.sparkSession, tag)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

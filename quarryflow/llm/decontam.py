@@ -1,33 +1,43 @@
-"""Benchmark decontamination with a positional inverted index that is partitioned by document.
+"""Benchmark decontamination with a stored positional inverted index of the training texts.
 
-Each task indexes the benchmark's vocabulary in its own documents: postings are sorted (term, position)
-keys. A phrase takes the postings of its rarest term in the shard, moves them back by the term's place in
-the phrase, and keeps the starts that the moved postings of its other terms also hold, rarest first. No
-document row is shuffled, so a hot source or a hot phrase costs no more than its own rows.
+``index`` cuts the texts into chunks and writes one row for each term of a chunk: its positions there, as differences.
+Rows are dealt and sorted by term, those of terms that are frequent in a chunk by term and chunk, so that no term's
+postings are one task's; what a lookup of few terms reads is few row groups.
 
-The phrases of the benchmark are the stated query set. They go to the tasks in blocks of a bounded size;
-a benchmark of several blocks makes several passes inside one stage.
+``hits`` joins the benchmark's phrases to the index. Terms are counted over the whole corpus, each phrase meets the
+postings of its rarest term only, and only for the chunks that these name are the lists of its other terms fetched and
+dealt by chunk. There each occurrence of the rarest term looks up the nearest place of the term before it, then of the
+one before that, and so to both ends: offset-adjusted lists intersected from the rarest. At a slop of 0 the places must
+be neighbours, which is an exact phrase; above it so many other words may lie between, which is a proximity match.
 
-Defined cases: a null or empty text has no words; a null ``item_id`` is written as an empty string;
-items with the same id count once; items without words have no phrase; repeated document rows are
-answered one by one; columns besides those named are ignored. Empty tables give empty or clean results.
+Nothing of the corpus or the benchmark goes through the driver, and no task holds more than a chunk and its lists:
+phrases stream past them. A text of over ``CHUNK`` bytes is several chunks, each after the ``CONTEXT`` words before it.
+
+Defined cases: a null or empty text has no words; a null ``item_id`` is written as an empty string; items with the same
+id count once; items without words have no phrase; repeated document rows are answered one by one; words of over
+``LONG`` bytes are known by their SHA-256; columns besides those named are ignored. Empty tables give empty or clean
+results. A chunk's words are told apart by 64-bit hashes and lengths, terms of the index by their bytes.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Spans, runs, steps
+from .common import Spans, materialize, raw_text, runs
 
 WINDOW = 10
-#: Bytes of benchmark text in one block; each task holds one block's phrases at a time.
-BLOCK_BYTES = 4 << 20
-#: Candidate starts that are tested at once.
+#: Bytes of text in a chunk, words of a long text that a chunk repeats from the one before, bytes of a word kept as it is.
+CHUNK, CONTEXT, LONG = 8 << 20, 64, 256
+#: Occurrences in a chunk from which a term's rows are dealt by chunk too.
+HEAVY = 1 << 12
+#: Candidate places that are tested at once.
 TESTED = 1 << 18
 
 _WORD = np.zeros(256, bool)
@@ -35,232 +45,306 @@ _WORD[0x30:0x3A] = _WORD[0x41:0x5B] = _WORD[0x61:0x7B] = _WORD[0x80:] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
 
+_DOC = "struct<key:long,doc_id:long,h:long,lo:long,begin:long,stop:long,place:long,more:boolean>"
+_INDEX = f"term string, chunk long, n long, at binary, docs array<{_DOC}>"
+
+
+# --- the index ------------------------------------------------------------------------------------------------
+
+
+def _terms(low: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """The distinct words of a chunk, and the number of each occurrence's."""
+    size, number = ends - begins, np.empty(len(begins), np.int64)
+    long = size > LONG
+    at, inside = begins, low
+    if long.any():  # the hashes need only the bytes of the others
+        stays = np.ones(len(low), bool)
+        for b, e in zip(begins[long].tolist(), ends[long].tolist()):
+            stays[b:e] = False
+        at, inside = begins - np.concatenate(([0], np.cumsum(np.where(long, size, 0))))[:-1], low[stays]
+    h = Spans(inside).of(at[~long], at[~long] + size[~long]) ^ size[~long].astype(np.uint64)
+    _, first, number[~long] = np.unique(h, return_index=True, return_inverse=True)
+    raw, at, size = inside.tobytes(), at[~long][first].tolist(), size[~long][first].tolist()
+    names = [raw[a : a + n].decode("utf-8", "replace") for a, n in zip(at, size)]
+    known: dict[str, int] = {}
+    for k in np.flatnonzero(long).tolist():
+        name = "sha256:" + hashlib.sha256(low[begins[k] : ends[k]].tobytes()).hexdigest()
+        number[k] = known.setdefault(name, len(names) + len(known))
+    return names + list(known), number
+
+
+def _cut(data: np.ndarray, limit: int) -> Iterator[np.ndarray]:
+    """A long row in parts of at least ``limit`` bytes that end where no word does not."""
+    at = 0
+    while at < len(data):
+        stop = min(len(data), at + limit)
+        while stop < len(data) and _WORD[data[stop - 1]]:  # on to the end of the word
+            inside = np.flatnonzero(~_WORD[data[stop : stop + limit]])
+            stop = min(len(data), stop + limit) if not len(inside) else stop + int(inside[0]) + 1
+        yield data[at:stop]
+        at = stop
+
+
+def _chunk(number: int, docs: pa.StructArray, low: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
+    names, term = _terms(low, begins, ends)
+    order = np.argsort(term, kind="stable")
+    n = np.bincount(term, minlength=len(names))
+    first = np.cumsum(n) - n
+    steps = np.diff(order, prepend=0)
+    steps[first] = order[first]
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.binary(), docs.type)
+    columns = [x.split()[0] for x in _INDEX.split(", ")[:5]]
+    listed = pa.ListArray.from_arrays(pa.array([0, len(docs)], pa.int32()), docs)
+    yield pa.RecordBatch.from_arrays([pa.nulls(1, kinds[0]), pa.array([number], pa.int64()), pa.array([0], pa.int64()), pa.nulls(1, kinds[3]), listed], columns)
+    offsets = np.append(first, len(order)).astype(np.int64) * 4
+    blobs = pa.Array.from_buffers(pa.large_binary(), len(names), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(steps.astype("<u4").tobytes())]).cast(pa.binary())
+    for k in range(0, len(names), 20_000):
+        part = slice(k, k + 20_000)
+        m = len(names[part])
+        yield pa.RecordBatch.from_arrays([pa.array(names[part], kinds[0]), pa.array(np.full(m, number)), pa.array(n[part]), blobs.slice(k, 20_000), pa.nulls(m, listed.type)], columns)
+
+
+def _index(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    base = TaskContext.get().partitionId() << 40
+    number = key = base
+
+    def described(ids: pa.Array, h: pa.Array, keys, lo, begin, stop, place, more) -> pa.StructArray:
+        own = [pa.array(np.asarray(x, np.int64)) for x in (keys, lo, begin, stop, place)]
+        return pa.StructArray.from_arrays([own[0], ids, h, *own[1:], pa.array(more, pa.bool_())], ["key", "doc_id", "h", "lo", "begin", "stop", "place", "more"])
 
-def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Lower-cased bytes, and the begins, ends and row boundaries of their words."""
-    return _LOWER[data], *runs(_WORD[data], offsets)
-
-
-class Phrases:
-    """The distinct phrases of a block of items, over a vocabulary of numbered terms."""
-
-    def __init__(self, items: list[tuple[str, str]], window: int = WINDOW):
-        self.ids = sorted({i for i, _ in items})
-        number, vocabulary, found = {x: k for k, x in enumerate(self.ids)}, {}, {}
-        for item, text in items:
-            data = np.frombuffer(text.encode(), np.uint8)
-            low, begins, ends, _ = words_of(data, np.array([0, len(data)]))
-            low = low.tobytes()
-            terms = [vocabulary.setdefault(low[b:e], len(vocabulary)) for b, e in zip(begins, ends)]
-            size = min(window, len(terms))
-            for k in range(len(terms) - size + 1) if terms else ():
-                found.setdefault(tuple(terms[k : k + size]), set()).add(number[item])
-        self.words = list(vocabulary)
-        self.terms = np.full((len(found), window), -1, np.int64)
-        for row, phrase in enumerate(found):
-            self.terms[row, : len(phrase)] = phrase
-        self.length = (self.terms >= 0).sum(1)
-        owners = [sorted(x) for x in found.values()]
-        self.owner_first = np.concatenate(([0], np.cumsum([len(x) for x in owners], dtype=np.int64))).astype(np.int64)
-        self.owners = np.array([x for o in owners for x in o], np.int64)
-        self.flat = np.frombuffer(b"".join(self.words), np.uint8)
-        self.bounds = np.concatenate(([0], np.cumsum([len(w) for w in self.words], dtype=np.int64))).astype(np.int64)
-        hashes = Spans(self.flat).of(self.bounds[:-1], self.bounds[1:])
-        self.order = np.argsort(hashes, kind="stable")
-        self.hashes = hashes[self.order]
-        self.maybe = np.zeros(1 << 20, bool)
-        self.maybe[(self.hashes & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-
-    def term_ids(self, low: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """The term number of each word, -1 for words that no phrase has."""
-        out = np.full(len(begins), -1, np.int64)
-        if not len(begins) or not len(self.hashes):
-            return out
-        h = Spans(low).of(begins, ends)
-        some = np.flatnonzero(self.maybe[(h & np.uint64((1 << 20) - 1)).astype(np.int64)])
-        at = np.minimum(np.searchsorted(self.hashes, h[some]), len(self.hashes) - 1)
-        term = self.order[at]
-        size = ends[some] - begins[some]
-        same = (self.hashes[at] == h[some]) & (size == self.bounds[term + 1] - self.bounds[term])
-        some, term, size = some[same], term[same], size[same]
-        if len(some):  # the bytes decide
-            first = np.cumsum(size) - size
-            step = np.arange(size.sum()) - np.repeat(first, size)
-            differ = low[np.repeat(begins[some], size) + step] != self.flat[np.repeat(self.bounds[term], size) + step]
-            same = np.add.reduceat(differ, first, dtype=np.int64) == 0
-            out[some[same]] = term[same]
-        return out
-
-
-class Postings:
-    """The positional index of one shard: a sorted array of term * span + position."""
-
-    def __init__(self, terms: np.ndarray, n_terms: int):
-        self.span = len(terms) + 2 * WINDOW + 2
-        at = np.flatnonzero(terms >= 0)
-        self.keys = np.sort(terms[at] * self.span + at, kind="stable")
-        self.first = np.searchsorted(self.keys, np.arange(n_terms + 1) * self.span)
-        self.count = np.diff(self.first)
-
-    def expand(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All positions of the given terms, with the index into ``terms`` of each."""
-        n = self.count[terms]
-        who = np.repeat(np.arange(len(terms)), n)
-        k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.first[terms], n)
-        return who, self.keys[k] - terms[who] * self.span
-
-    def holds(self, terms: np.ndarray, positions: np.ndarray) -> np.ndarray:
-        want = terms * self.span + positions
-        at = np.minimum(np.searchsorted(self.keys, want), len(self.keys) - 1)
-        return self.keys[at] == want
-
-
-def exact(phrases: Phrases, index: Postings, row_first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(phrase, start) of every occurrence that lies in one row."""
-    none = np.empty(0, np.int64)
-    if not len(phrases.terms) or not len(index.keys):
-        return none, none
-    count = np.where(phrases.terms >= 0, index.count[phrases.terms], np.iinfo(np.int64).max)
-    rarity = np.argsort(count, axis=1, kind="stable")
-    live = np.flatnonzero(count.min(1) > 0)
-    out_w, out_s = [], []
-    size = np.cumsum(count[live, rarity[live, 0]])
-    for block in np.split(live, np.flatnonzero(np.diff(size // TESTED)) + 1) if len(live) else ():
-        who, at = index.expand(phrases.terms[block, rarity[block, 0]])
-        w = block[who]
-        s = at - rarity[w, 0]
-        row = np.searchsorted(row_first, at, "right")
-        keep = (s >= row_first[row - 1]) & (s + phrases.length[w] <= row_first[row])
-        w, s = w[keep], s[keep]
-        for k in range(1, WINDOW):
-            place = rarity[w, k] if len(w) else w
-            past = k >= phrases.length[w]
-            keep = past | index.holds(phrases.terms[w, place], s + place)
-            w, s = w[keep], s[keep]
-        out_w.append(w)
-        out_s.append(s)
-    return (np.concatenate(out_w), np.concatenate(out_s)) if out_w else (none, none)
-
-
-def near(phrases: Phrases, index: Postings, row_first: np.ndarray, slop: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(phrase, start, end) where a phrase's terms follow each other in order with up to ``slop`` other words between."""
-    hits: list[tuple[int, int, int]] = []
-    for w, terms in enumerate(phrases.terms):
-        terms = terms[terms >= 0]
-        lists = [index.keys[index.first[t] : index.first[t + 1]] - t * index.span for t in terms]
-        if not all(map(len, lists)):
-            continue
-        start = at = lists[0]
-        for positions in lists[1:]:  # the nearest next position is never a worse choice
-            k = np.searchsorted(positions, at, "right")
-            ok = k < len(positions)
-            start, at = start[ok], positions[k[ok]]
-        row = np.searchsorted(row_first, start, "right")
-        ok = (at < row_first[row]) & (at - start - len(terms) + 1 <= slop)
-        hits += [(w, a, b + 1) for a, b in zip(start[ok].tolist(), at[ok].tolist())]
-    found = np.array(hits, np.int64).reshape(-1, 3)
-    return found[:, 0], found[:, 1], found[:, 2]
-
-
-_OUT = "doc_id long, n_words long, n_hit long, items array<string>"
-_STATE = _OUT + ", text string, hits binary"
-
-
-def _search(batches: Iterator[pa.RecordBatch], phrases: Phrases, slop: int | None, last: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        have = batch.schema.names
-        before = batch.column("items").to_pylist() if "items" in have else None
-        masks = batch.column("hits").to_pylist() if "hits" in have else None
-        n_words, n_hit, items, hits = [], [], [], []
-        for a, b, data, offsets in steps(batch.column("text")):
-            low, begins, ends, first = words_of(data, offsets)
-            terms = phrases.term_ids(low, begins, ends)
-            index = Postings(terms, len(phrases.words))
-            if slop is None:
-                w, s = exact(phrases, index, first)
-                e = s + phrases.length[w]
-            else:
-                w, s, e = near(phrases, index, first, slop)
-            edge = np.zeros(len(begins) + 1, np.int64)
-            np.add.at(edge, s, 1)
-            np.add.at(edge, e, -1)
-            hit = np.cumsum(edge[:-1]) > 0
-            row = np.searchsorted(first, s, "right") - 1
-            n_own = phrases.owner_first[w + 1] - phrases.owner_first[w]
-            who = np.repeat(np.arange(len(w)), n_own)
-            k = np.arange(n_own.sum()) - np.repeat(np.cumsum(n_own) - n_own, n_own) + np.repeat(phrases.owner_first[w], n_own)
-            pairs = np.unique(np.stack([row[who], phrases.owners[k]], 1), axis=0) if len(w) else np.empty((0, 2), np.int64)
-            cut = np.searchsorted(pairs[:, 0], np.arange(b - a + 1))
-            for r in range(b - a):
-                own = hit[first[r] : first[r + 1]]
-                names = {phrases.ids[x] for x in pairs[cut[r] : cut[r + 1], 1]}
-                if before is not None:
-                    names |= set(before[a + r])
-                    own = own | np.unpackbits(np.frombuffer(masks[a + r], np.uint8), count=len(own)).astype(bool)
-                n_words.append(len(own))
-                n_hit.append(int(own.sum()))
-                items.append(sorted(names))
-                hits.append(None if last else np.packbits(own).tobytes())
-        out = [batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string()))]
-        names = ["doc_id", "n_words", "n_hit", "items"]
-        if not last:
-            out += [batch.column("text"), pa.array(hits, pa.binary())]
-            names += ["text", "hits"]
-        yield pa.RecordBatch.from_arrays(out, names)
-
-
-def blocks(items: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[Phrases, bool]]:
-    """The phrases of runs of items of about ``block_bytes``, and whether the run is the last. At least one run comes."""
-    rows = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))).toLocalIterator()
-    more = True
-    while more:
-        block, held = [], 0
-        while more and held <= block_bytes:
-            if (row := next(rows, None)) is None:
-                more = False
+        ids, h = batch.column("doc_id"), batch.column("h")
+        data, offsets = raw_text(batch.column("text"))
+        a = 0
+        while a < batch.num_rows:
+            b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + limit, "right")) - 1)
+            own = data[offsets[a] : offsets[b]]
+            if b - a > 1 or len(own) <= limit:
+                low = _LOWER[own]
+                begins, ends, first = runs(_WORD[own], offsets[a : b + 1] - offsets[a])
+                docs = described(ids.slice(a, b - a), h.slice(a, b - a), key + np.arange(b - a), first[:-1], first[:-1], first[1:], np.zeros(b - a), np.zeros(b - a, bool))
+                yield from _chunk(number, docs, low, begins, ends)
+                number += 1
             else:
-                block.append((row[0], row[1]))
-                held += len(row[1])
-        yield Phrases(block, window), not more
-
-
-def find(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit, items (the ids of items with an occurring phrase, sorted as strings).
-
-    ``slop`` None asks for exact phrases; a number allows that many other words between a phrase's words.
-    Benchmark rows reach the driver in blocks of at most ``block_bytes`` (or one item), never all at once.
-    """
-    out = docs.select("doc_id", "text")
-    for phrases, last in blocks(items, window, block_bytes):
-        sent = docs.sparkSession.sparkContext.broadcast(phrases)
-        out = out.mapInArrow(lambda it, sent=sent, last=last: _search(it, sent.value, slop, last), _OUT if last else _STATE)
-    return out
+                before, place, done = [np.empty(0, np.uint8)] * 0, 0, 0
+                for part in _cut(own, limit):
+                    done += len(part)
+                    low = _LOWER[np.concatenate([*before, part])]
+                    begins, ends, first = runs(_WORD[low], np.array([0, len(low)]))
+                    known = len(before) // 2
+                    docs = described(ids.slice(a, 1), h.slice(a, 1), [key], [0], [known], [len(begins)], [place], [done < len(own)])
+                    yield from _chunk(number, docs, low, begins, ends)
+                    number += 1
+                    place += len(begins) - known
+                    before = [x for s, e in zip(begins[-CONTEXT:].tolist(), ends[-CONTEXT:].tolist()) for x in (low[s:e].copy(), np.array([0x20], np.uint8))]
+            key += b - a
+            a = b
+
+
+def index(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """The stored index: a row per term and chunk, and one per chunk (term null) that says which words are whose."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long"), text.alias("text")).select("doc_id", F.xxhash64("text").alias("h"), "text")
+    rows = rows.mapInArrow(lambda it: _index(it, chunk), _INDEX)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    alone = F.when(F.col("term").isNull() | (F.col("n") >= HEAVY), F.col("chunk")).otherwise(0)
+    return materialize(rows.repartition(parts, "term", alone).sortWithinPartitions("term", "chunk"), "index", "zstd")
+
+
+# --- phrases --------------------------------------------------------------------------------------------------
+
+
+def windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(item, terms): the distinct windows of each item."""
+    low = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = F.transform(
+        F.regexp_extract_all(low, F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0)),
+        lambda w: F.when(F.octet_length(w) > LONG, F.concat(F.lit("sha256:"), F.sha2(w, 256))).otherwise(w),
+    )
+    each = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), words.alias("words")).where(F.size("words") > 0)
+    starts = F.explode(F.sequence(F.lit(1), F.greatest(F.size("words") - (window - 1), F.lit(1))))
+    return each.select("item", "words", starts.alias("k")).select("item", F.slice("words", F.col("k"), F.least(F.size("words"), F.lit(window))).alias("terms")).distinct()
+
+
+class Shard:
+    """The lists of one chunk: a sorted array of term * span + position."""
+
+    def __init__(self, tids: np.ndarray, lists: list[np.ndarray], words: int):
+        order = np.argsort(tids)
+        self.tids, self.span = tids[order], words + 2
+        lists = [lists[k] for k in order]
+        n = np.array([len(x) for x in lists], np.int64)
+        self.keys = np.concatenate([np.empty(0, np.int64), *lists]) + np.repeat(np.arange(len(n)) * self.span, n)
+        self.first = np.concatenate(([0], np.cumsum(n)))
+
+    def local(self, tids: np.ndarray) -> np.ndarray:
+        """The chunk's numbers of terms, -1 for those that it has not."""
+        if not len(self.tids):
+            return np.full(len(tids), -1)
+        at = np.minimum(np.searchsorted(self.tids, tids), len(self.tids) - 1)
+        return np.where(self.tids[at] == tids, at, -1)
+
+    def find(self, terms: np.ndarray, length: np.ndarray, place: np.ndarray, starts: np.ndarray, stops: np.ndarray, slop: int) -> Iterator[tuple[np.ndarray, ...]]:
+        """(phrase, first word, one past the last) of every match around an occurrence of the term at ``place`` of a phrase,
+        in blocks; ``starts`` and ``stops`` are those of the rows."""
+        rare = terms[np.arange(len(terms)), place]
+        n = self.first[rare + 1] - self.first[rare]
+        size = np.cumsum(n)
+        for block in np.split(np.arange(len(terms)), np.flatnonzero(np.diff(size // TESTED)) + 1):
+            w = np.repeat(block, n[block])
+            k = np.arange(len(w)) - np.repeat(np.cumsum(n[block]) - n[block], n[block]) + np.repeat(self.first[rare[block]], n[block])
+            at = self.keys[k] - rare[w] * self.span
+            row = np.searchsorted(starts, at, "right") - 1
+            ok = at < stops[row]
+            w, at, row = w[ok], at[ok], row[ok]
+            ends = []
+            for way in (-1, 1):
+                here = at.copy()
+                for d in range(1, terms.shape[1]):
+                    j = place[w] + way * d
+                    live = (j >= 0) & (j < length[w])
+                    t = terms[w, np.where(live, j, 0)]
+                    if way < 0:
+                        k = np.searchsorted(self.keys, t * self.span + here) - 1
+                        have = k >= self.first[t]
+                    else:
+                        k = np.searchsorted(self.keys, t * self.span + here, "right")
+                        have = k < self.first[t + 1]
+                    to = self.keys[np.clip(k, 0, len(self.keys) - 1)] - t * self.span
+                    ok = ~live | have & (np.abs(to - at) <= d + slop) & (to >= starts[row]) & (to < stops[row])
+                    here = np.where(live, to, here)[ok]
+                    w, at, row = w[ok], at[ok], row[ok]
+                    ends = [x[ok] for x in ends]
+                ends.append(here)
+            ok = ends[1] - ends[0] + 1 - length[w] <= slop
+            yield w[ok], ends[0][ok], ends[1][ok] + 1
+
+
+_HITS = "key long, phrase long, n_hit long, position long"
+_MET = f"chunk long, kind int, tid long, at binary, docs array<{_DOC}>, phrase long, place int, tids array<long>"
+
+
+def _hit_rows(key=(), phrase=None, n_hit=None, position=None) -> pa.RecordBatch:
+    columns = [pa.nulls(len(key), pa.int64()) if x is None else pa.array(np.asarray(x, np.int64)) for x in (key, phrase, n_hit, position)]
+    return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in _HITS.split(", ")])
+
+
+def _intersect(batches: Iterator[pa.RecordBatch], slop: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (chunk, kind): what words are whose, then lists, then phrases."""
+    now, docs, tids, lists, shard, edge = None, None, [], [], None, None
+
+    def over() -> Iterator[pa.RecordBatch]:
+        """What the words of a chunk that is over are."""
+        if edge is None or not edge.any():
+            return
+        hit = np.concatenate(([0], np.cumsum(np.cumsum(edge[:-1]) > 0)))
+        counted = np.where(docs["more"], np.maximum(docs["begin"], docs["stop"] - CONTEXT), docs["stop"])
+        n = hit[counted] - hit[docs["begin"]]
+        yield _hit_rows(docs["key"][n > 0], n_hit=n[n > 0])
+        for k in np.flatnonzero((docs["lo"] < docs["begin"]) | docs["more"]).tolist():  # words that two chunks hold
+            at = np.concatenate((np.arange(docs["lo"][k], docs["begin"][k]), np.arange(counted[k], docs["stop"][k])))
+            at = at[hit[at + 1] > hit[at]]
+            yield _hit_rows(np.full(len(at), docs["key"][k]), position=at - docs["begin"][k] + docs["place"][k])
 
-
-def _clean(batches: Iterator[pa.RecordBatch], phrases: Phrases) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keep = np.ones(batch.num_rows, bool)
-        for a, _, data, offsets in steps(batch.column("text")):
-            low, begins, ends, first = words_of(data, offsets)
-            _, s = exact(phrases, Postings(phrases.term_ids(low, begins, ends), len(phrases.words)), first)
-            keep[a + np.searchsorted(first, s, "right") - 1] = False
-        yield batch.filter(pa.array(keep))
+        chunk, kind = batch.column("chunk").to_numpy(), batch.column("kind").to_numpy()
+        cut = np.flatnonzero((np.diff(chunk) != 0) | (np.diff(kind) != 0)) + 1
+        for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(chunk)]):
+            if a == b:
+                continue
+            if chunk[a] != now:
+                yield from over()
+                now, tids, lists, shard, edge = chunk[a], [], [], None, None
+            own = batch.slice(a, b - a)
+            if kind[a] == 0:
+                found = own.column("docs").flatten()
+                docs = {f: found.field(f).to_numpy(zero_copy_only=False) for f in ("key", "lo", "begin", "stop", "place", "more")}
+            elif kind[a] == 1:
+                tids.append(own.column("tid").to_numpy())
+                data, offsets = raw_text(own.column("at"))
+                lists += [np.cumsum(np.frombuffer(data[s:e].tobytes(), "<u4").astype(np.int64)) for s, e in zip(offsets[:-1], offsets[1:])]
+            else:
+                if shard is None:
+                    words = int(docs["stop"][-1])
+                    shard, edge = Shard(np.concatenate([np.empty(0, np.int64), *tids]), lists, words), np.zeros(words + 1, np.int64)
+                listed = own.column("tids")
+                length = np.diff(listed.offsets.to_numpy())
+                terms = np.full((len(length), int(length.max())), -1, np.int64)
+                inside = np.arange(terms.shape[1]) < length[:, None]
+                terms[inside] = shard.local(listed.flatten().to_numpy())
+                ok = ((terms >= 0) | ~inside).all(1)
+                names, place = own.column("phrase").to_numpy()[ok], own.column("place").to_numpy()[ok]
+                if not ok.any():
+                    continue
+                for w, s, e in shard.find(terms[ok], length[ok], place, docs["lo"], docs["stop"], slop):
+                    np.add.at(edge, s, 1)
+                    np.add.at(edge, e, -1)
+                    if len(w):
+                        row = np.searchsorted(docs["lo"], s, "right") - 1
+                        pairs = np.unique(np.stack([docs["key"][row], names[w]], 1), axis=0)
+                        yield _hit_rows(pairs[:, 0], phrase=pairs[:, 1])
+    yield from over()
+
+
+def hits(stored: DataFrame, phrases: DataFrame, slop: int = 0) -> DataFrame:
+    """Matches of ``phrases`` (phrase, terms) in an index: rows (key, phrase) of what a text holds, and rows (key, n_hit) or
+    (key, position) that count and name its words inside matches."""
+    lists = stored.where("term is not null")
+    each = phrases.select("phrase", F.size("terms").alias("length"), F.posexplode("terms").alias("place", "term"))
+    found = lists.join(each.select("term").distinct(), "term", "left_semi")
+    counts = materialize(found.groupBy("term").agg(F.sum("n").alias("total")).withColumn("tid", F.monotonically_increasing_id()), "terms")
+    plans = each.join(counts, "term").groupBy("phrase", "length").agg(
+        F.min(F.struct("total", "place", "tid")).alias("rare"), F.array_sort(F.collect_list(F.struct("place", "tid"))).alias("terms")
+    ).where(F.size("terms") == F.col("length"))
+    plans = materialize(plans.select("phrase", F.col("rare.tid").alias("tid"), F.col("rare.place").alias("place"), F.transform("terms", lambda x: x["tid"]).alias("tids")), "plans")
+    found = lists.join(counts.select("term", "tid"), "term").select("tid", "chunk", "at")
+    named = materialize(lists.select("term", "chunk").join(counts.select("term", "tid"), "term").select("tid", "chunk").join(plans, "tid").select("chunk", "phrase", "place", "tids"), "candidates")
+    needed = named.select("chunk", F.explode("tids").alias("tid")).distinct()
+    empty = {x.split()[0]: F.lit(None).cast(x.split()[1]).alias(x.split()[0]) for x in _MET.split(", ")}
+    rows = lambda df, kind, *have: df.select(*(F.lit(kind).alias(c) if c == "kind" else F.col(c) if c in have else e for c, e in empty.items()))
+    met = rows(stored.where("term is null").join(named.select("chunk").distinct(), "chunk", "left_semi"), 0, "chunk", "docs")
+    met = met.unionByName(rows(found.join(needed, ["chunk", "tid"], "left_semi"), 1, "chunk", "tid", "at")).unionByName(rows(named, 2, "chunk", "phrase", "place", "tids"))
+    met = met.repartition("chunk").sortWithinPartitions("chunk", "kind")
+    return materialize(met.mapInArrow(lambda it: _intersect(it, slop), _HITS), "hits")
+
+
+def _asked(docs: DataFrame, items: DataFrame, window: int, slop: int, chunk: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The index, the matches, and (phrase, item)."""
+    if not 0 <= slop <= CONTEXT - window:
+        raise ValueError(f"a window and its slop take at most {CONTEXT} words")
+    asked = materialize(windows(items, window), "windows")
+    phrases = materialize(asked.select("terms").distinct().withColumn("phrase", F.monotonically_increasing_id()), "phrases")
+    stored = index(docs, chunk)
+    return stored, hits(stored, phrases, slop), asked.join(phrases, "terms").select("phrase", "item")
+
+
+def _held(stored: DataFrame) -> DataFrame:
+    return stored.where("term is null").select(F.explode("docs").alias("d")).select("d.*")
+
+
+def find(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int = 0, chunk: int = CHUNK) -> DataFrame:
+    """Per document: doc_id, n_words, n_hit, items (the ids of items with a matching phrase, sorted as strings).
+
+    ``slop`` 0 asks for exact phrases; more allows that many other words between a phrase's words.
+    """
+    stored, met, members = _asked(docs, items, window, slop, chunk)
+    words = _held(stored).groupBy("key").agg(F.max("doc_id").alias("doc_id"), F.sum(F.col("stop") - F.col("begin")).alias("n_words"))
+    shared = met.where("position is not null").select("key", "position").distinct().groupBy("key").agg(F.count("*").alias("n_hit"))
+    n_hit = met.where("n_hit is not null").select("key", "n_hit").unionByName(shared).groupBy("key").agg(F.sum("n_hit").alias("n_hit"))
+    own = met.where("phrase is not null").select("key", "phrase").distinct().join(members, "phrase").select("key", "item").distinct()
+    own = own.groupBy("key").agg(F.sort_array(F.collect_list("item")).alias("items"))
+    out = words.join(n_hit, "key", "left").join(own, "key", "left")
+    return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
-def keep_clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def keep_clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, chunk: int = CHUNK) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark phrase, with the columns as they came."""
-    for phrases, _ in blocks(items, window, block_bytes):
-        sent = docs.sparkSession.sparkContext.broadcast(phrases)
-        docs = docs.mapInArrow(lambda it, sent=sent: _clean(it, sent.value), docs.schema)
-    return docs
-
-
-def postings(docs: DataFrame) -> DataFrame:
-    """The whole corpus as a positional inverted index: term, doc_id, positions; for storing beside the corpus."""
-    low = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    words = F.regexp_extract_all(low, F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0))
-    each = docs.select("doc_id", F.posexplode(words).alias("position", "term"))
-    return each.groupBy("term", "doc_id").agg(F.sort_array(F.collect_list("position")).alias("positions"))
+    stored, met, _ = _asked(docs, items, window, 0, chunk)
+    gone = _held(stored).select("key", "doc_id", "h").join(met.where("phrase is not null").select("key").distinct(), "key", "left_semi")
+    none = F.lit(-(1 << 63))  # a hash and an id together, so that texts of one hash are not taken for each other
+    gone = gone.select(F.coalesce("doc_id", none).alias("decontam_id"), F.col("h").alias("decontam_h")).distinct()
+    keys = F.coalesce(F.col("doc_id").cast("long"), none).alias("decontam_id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("decontam_h")
+    return docs.select("*", *keys).join(gone, ["decontam_id", "decontam_h"], "left_anti").select(*docs.columns)
 
 
 def op10_decontam(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -271,6 +355,11 @@ def op10_decontam(docs: DataFrame, items: DataFrame) -> DataFrame:
     )
 
 
+def near_phrases(docs: DataFrame, items: DataFrame, slop: int = 3) -> DataFrame:
+    """Documents and benchmark items that share ten words in order, with at most ``slop`` others between."""
+    found = find(docs, items, slop=slop).where("n_hit > 0")
+    return found.select("doc_id", "n_hit", F.explode("items").alias("item_id"))
+
 
 _SQL_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 ORACLE = f"""with it as (select cast(item_id as varchar) as id, {_SQL_WORDS} as w from benchmark),

@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_digest": lambda s, d: digest.op8_digest(t(s, d, "documents")),
         "op9_chat": lambda s, d: chat.op9_chat(t(s, d, "conversations")),
         "op10_decontam": lambda s, d: decontam.op10_decontam(t(s, d, "documents"), t(s, d, "benchmark")),
+        "near_phrases": lambda s, d: decontam.near_phrases(t(s, d, "documents"), t(s, d, "benchmark")),
     }
 
 

@@ -271,17 +271,53 @@ def test_decontam(docs, items, spark):
     found = decontam.find(docs, items)
     want = {7: ["1"], 8: ["1"], 4: ["4"], 14: ["4"], None: [""]}
     assert {r["doc_id"]: r["items"] for r in found.where("n_hit > 0").collect()} == want
-    for size in (1, 50):  # many blocks give what one gives
-        assert by_text(decontam.find(docs, items, block_bytes=size), "doc_id", "n_words", "n_hit", "items") == by_text(found, "doc_id", "n_words", "n_hit", "items")
-        assert decontam.keep_clean(docs, items, block_bytes=size).count() == len(ROWS) - 5
+    for size in (400, 5000):  # many chunks, and texts of many, give what one gives
+        assert by_text(decontam.find(docs, items, chunk=size), "doc_id", "n_words", "n_hit", "items") == by_text(found, "doc_id", "n_words", "n_hit", "items")
+        assert decontam.keep_clean(docs, items, chunk=size).count() == len(ROWS) - 5
     assert decontam.keep_clean(docs, items).schema == docs.schema
     assert decontam.find(docs, empty(spark, "item_id long, text string")).where("n_hit > 0").count() == 0
     assert decontam.find(empty(spark), items).count() == 0
-    loose = spark.createDataFrame([(1, "one two and three four"), (2, "one two and then some three four")], SCHEMA)
-    asked = spark.createDataFrame([(5, "one two three four")], "item_id long, text string")
-    assert [r["n_hit"] for r in decontam.find(loose, asked, slop=1).orderBy("doc_id").collect()] == [5, 0]
-    index = {(r["term"], r["doc_id"]): r["positions"] for r in decontam.postings(loose).collect()}
-    assert index["three", 1] == [3] and index["three", 2] == [5]
+    assert decontam.near_phrases(docs, items).count() == 5
+
+
+def test_stored_postings(spark):
+    rows = [(1, "One two and THREE, four; one"), (2, "three " + "x" * 400 + " three")]
+    stored = decontam.index(spark.createDataFrame(rows, SCHEMA).coalesce(1)).collect()
+    lists = {r["term"]: np.cumsum(np.frombuffer(r["at"], "<u4")).tolist() for r in stored if r["term"]}
+    assert lists == {"one": [0, 5], "two": [1], "and": [2], "three": [3, 6, 8], "four": [4], "sha256:" + hashlib.sha256(b"x" * 400).hexdigest(): [7]}
+    (docs,) = [r["docs"] for r in stored if r["term"] is None]
+    assert [(d["doc_id"], d["begin"], d["stop"]) for d in docs] == [(1, 0, 6), (2, 6, 9)]
+
+
+@pytest.mark.parametrize("slop, chunk", [(0, 1 << 20), (0, 40), (2, 1 << 20), (2, 60), (5, 200)])
+def test_phrases_against_brute_force(spark, slop, chunk):
+    g = random.Random(slop + chunk)
+    said = lambda n: [g.choice("abcdefg") * g.choice((1, 1, 1, 300)) for _ in range(n)]
+    rows, asked = [(k, said(g.choice((0, 3, 30, 120)))) for k in range(40)], [(k, said(g.choice((0, 2, 4, 6)))) for k in range(25)]
+    got = decontam.find(*(spark.createDataFrame([(k, " ".join(w)) for k, w in x], f"{c} long, text string") for x, c in ((rows, "doc_id"), (asked, "item_id"))), window=4, slop=slop, chunk=chunk)
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"]) for r in got.collect()}
+    for k, w in rows:
+        hit, items = set(), set()
+        for i, words in asked:
+            for at in range(max(1, len(words) - 3) if words else 0):
+                phrase = words[at : at + 4]
+                for x in range(len(w)):  # the nearest matches around each place of each word
+                    for p in range(len(phrase)):
+                        if w[x] != phrase[p]:
+                            continue
+                        a = b = x
+                        try:
+                            for t in reversed(phrase[:p]):
+                                a = max(j for j in range(a) if w[j] == t)
+                            for t in phrase[p + 1 :]:
+                                b = w.index(t, b + 1)
+                        except ValueError:
+                            continue
+                        if b - a + 1 - len(phrase) <= slop:
+                            items.add(str(i))
+                            hit |= set(range(a, b + 1)) if slop == 0 else set()
+        assert (got[k][0], got[k][2]) == (len(w), sorted(items))
+        assert slop or got[k][1] == len(hit)
 
 
 def test_warc(spark, tmp_path):
