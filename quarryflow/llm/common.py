@@ -88,15 +88,15 @@ def steps(column: pa.Array, limit: int = STEP_BYTES) -> Iterator[tuple[int, int,
 
 def pieces(data: np.ndarray, member: np.ndarray, keep: int, limit: int = STEP_BYTES) -> Iterator[tuple[np.ndarray, int]]:
     """Cuts one row's bytes into parts of at most ``limit`` bytes, each after the ``keep`` words before it: (bytes, how many
-    of its first words came before). ``member`` tells the bytes of words. Cuts fall between words; only a word of over
+    of the first bytes came before). ``member`` tells the bytes of words. Cuts fall between words; only a word of over
     half of ``limit`` bytes may be cut, at a place that its row alone decides."""
-    at, known, before = 0, 0, np.empty(0, np.uint8)
+    at, before = 0, np.empty(0, np.uint8)
     while True:
         stop = min(len(data), at + limit)
         if stop < len(data) and len(edge := np.flatnonzero(~member[data[at + limit // 2 : stop]])):
             stop = at + limit // 2 + int(edge[-1]) + 1
         part = np.concatenate((before, data[at:stop]))
-        yield part, known
+        yield part, len(before)
         if stop == len(data):
             return
         begins, _, _ = runs(member[part], np.array([0, len(part)]))

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Spans, materialize, raw_text, runs
+from .common import STEP_BYTES, Spans, materialize, raw_text, runs
 
 WINDOW = 10
 #: Bytes of text in a chunk, words of a long text that a chunk repeats from the one before, bytes of a word kept as it is.
@@ -52,6 +52,16 @@ _INDEX = f"term string, chunk long, n long, at binary, docs array<{_DOC}>"
 # --- the index ------------------------------------------------------------------------------------------------
 
 
+def _word_hashes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of sorted spans of a buffer and of their lengths, a part of it at a time."""
+    out = (ends - begins).astype(np.uint64)
+    for at in range(0, len(data), STEP_BYTES):
+        a, b = np.searchsorted(begins, (at, at + STEP_BYTES))
+        if a < b:
+            out[a:b] ^= Spans(data[at : ends[b - 1]]).of(begins[a:b] - at, ends[a:b] - at)
+    return out
+
+
 def _terms(low: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[list[str], np.ndarray]:
     """The distinct words of a chunk, and the number of each occurrence's."""
     size, number = ends - begins, np.empty(len(begins), np.int64)
@@ -62,7 +72,7 @@ def _terms(low: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[list[
         for b, e in zip(begins[long].tolist(), ends[long].tolist()):
             stays[b:e] = False
         at, inside = begins - np.concatenate(([0], np.cumsum(np.where(long, size, 0))))[:-1], low[stays]
-    h = Spans(inside).of(at[~long], at[~long] + size[~long]) ^ size[~long].astype(np.uint64)
+    h = _word_hashes(inside, at[~long], at[~long] + size[~long])
     _, first, number[~long] = np.unique(h, return_index=True, return_inverse=True)
     raw, at, size = inside.tobytes(), at[~long][first].tolist(), size[~long][first].tolist()
     names = [raw[a : a + n].decode("utf-8", "replace") for a, n in zip(at, size)]
@@ -148,7 +158,7 @@ def index(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     rows = rows.mapInArrow(lambda it: _index(it, chunk), _INDEX)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     alone = F.when(F.col("term").isNull() | (F.col("n") >= HEAVY), F.col("chunk")).otherwise(0)
-    return materialize(rows.repartition(parts, "term", alone).sortWithinPartitions("term", "chunk"), "index", "zstd")
+    return materialize(rows.repartition(parts, "term", alone).sortWithinPartitions("term"), "index", "zstd")
 
 
 # --- phrases --------------------------------------------------------------------------------------------------

@@ -3,20 +3,47 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Spans, per_row, steps
+from .common import STEP_BYTES, Spans, mix, per_row, pieces, steps
 
 #: Size of the hashed feature space.
 BUCKETS = 1 << 20
 _MASK = np.uint64(BUCKETS - 1)
 
-#: From bytes and row offsets: bucket of each feature occurrence, first occurrence of each row, size of each row.
-Features = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
+class Features(NamedTuple):
+    """How texts become features: ``of`` gives, from bytes and row offsets, the number of each feature occurrence, the first
+    occurrence of each row and the size of each row in words, of ``width`` occurrences each. Long rows are read in parts, cut
+    between runs of ``member`` bytes and after the ``keep`` runs before; with ``once`` a row's equal words count once."""
+
+    of: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
+    width: int
+    member: np.ndarray
+    keep: int = 0
+    once: bool = False
+
+    def groups(self, column: pa.Array, limit: int) -> Iterator[Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+        """For each run of rows, what ``of`` gives; of a long row, part by part."""
+        for a, b, data, offsets in steps(column, limit):
+            yield iter([self.of(data, offsets)]) if b - a > 1 or len(data) <= limit else self._parts(data, limit)
+
+    def _parts(self, data: np.ndarray, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        seen = np.empty(0, np.uint64)
+        for part, before in pieces(data, self.member, self.keep, limit):
+            words = self.of(part, np.array([0, len(part)]))[0].reshape(-1, self.width)
+            words = words[int(self.of(part[:before], np.array([0, before]))[2][0]) if before else 0 :]
+            if self.once:
+                h = np.zeros(len(words), np.uint64)
+                for k in range(self.width):
+                    h = mix(h * np.uint64(31) + words[:, k].astype(np.uint64))
+                words = words[new := ~np.isin(h, seen)]
+                seen = np.concatenate((seen, h[new]))
+            yield words.ravel(), np.array([0, words.size]), np.array([len(words)])
 
 
 def held_out(doc_id: Column) -> Column:
@@ -42,41 +69,53 @@ def token_runs(kinds: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return begins, ends, np.searchsorted(begins, offsets)
 
 
-def sample(labels: DataFrame, size: int, salt: int) -> DataFrame:
-    """The ``size`` rows with the smallest hashes of their ids: the same rows for the same table, however it is split."""
-    return labels.orderBy(F.xxhash64("doc_id", F.lit(salt)), "doc_id").limit(size)
+def sample(ids: DataFrame, size: int, salt: int) -> DataFrame:
+    """The ``size`` rows with the smallest hashes of their distinct ids: the same for the same table, however it is split."""
+    return ids.orderBy(F.xxhash64("doc_id", F.lit(salt)), "doc_id").limit(size)
 
 
-def _counts(batches: Iterator[pa.RecordBatch], features: Features) -> Iterator[pa.RecordBatch]:
+def _counts(batches: Iterator[pa.RecordBatch], features: Features, limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, counts = [], []
-        for _, _, data, offsets in steps(batch.column("text")):
-            found, first, _ = features(data, offsets)
-            for a, b in zip(first[:-1], first[1:]):
-                k, n = np.unique(found[a:b], return_counts=True)
+        for group in features.groups(batch.column("text"), limit):
+            rows = [[np.unique(found[a:b], return_counts=True) for a, b in zip(first[:-1], first[1:])] for found, first, _ in group]
+            if len(rows) > 1:  # the parts of one row
+                every, n = (np.concatenate([x[0][k] for x in rows]) for k in (0, 1))
+                own, place = np.unique(every, return_inverse=True)
+                rows = [[(own, np.bincount(place, n, len(own)))]]
+            for k, n in rows[0]:
                 ids.append(k.astype(np.uint32).tobytes())
-                counts.append(np.minimum(n, 65535).astype(np.uint16).tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(ids, pa.binary()), pa.array(counts, pa.binary())], ["label", "ids", "counts"])
+                counts.append(n.astype(np.uint32).tobytes())
+        columns = [*(batch.column(c) for c in ("doc_id", "label")), pa.array(ids, pa.binary()), pa.array(counts, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "label", "ids", "counts"])
 
 
-def gather(docs: DataFrame, chosen: DataFrame, size: int, features: Features) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """(label, buckets, counts) of at most ``size`` documents. ``chosen`` has at most ``size`` rows (doc_id, label)."""
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("label", "text")
-    rows = rows.mapInArrow(lambda it: _counts(it, features), "label int, ids binary, counts binary").limit(size).collect()
-    out = [(r[0], np.frombuffer(r[1], np.uint32).astype(np.int64), np.frombuffer(r[2], np.uint16).astype(np.float64)) for r in rows]
-    return sorted(out, key=lambda x: (len(x[1]), x[1].tobytes(), x[0]))
+Sample = list[tuple[np.ndarray, np.ndarray]]
+
+
+def gather(docs: DataFrame, chosen: DataFrame, features: Features) -> dict[int, Sample]:
+    """By label, (features, counts) of the documents of ``chosen``, a bounded table of distinct (doc_id, label), in the order
+    of their ids. Of texts that share an id the least is taken, so the sample is the same however the table is split."""
+    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    rows = rows.mapInArrow(lambda it: _counts(it, features), "doc_id long, label int, ids binary, counts binary").collect()
+    out: dict[int, Sample] = {}
+    for _, label, k, n in sorted(rows, key=lambda r: (r[0], r[1])):
+        out.setdefault(label, []).append((np.frombuffer(k, np.uint32).astype(np.int64), np.frombuffer(n, np.uint32).astype(np.float64)))
+    return out
 
 
 def logistic(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def _scores(batches: Iterator[pa.RecordBatch], features: Features, weights: np.ndarray, bias: float, mean: bool) -> Iterator[pa.RecordBatch]:
+def _scores(batches: Iterator[pa.RecordBatch], features: Features, weights: np.ndarray, bias: float, mean: bool, limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = [np.empty(0)]
-        for _, _, data, offsets in steps(batch.column("text")):
-            found, first, size = features(data, offsets)
-            total = per_row(weights[found], first)
+        for group in features.groups(batch.column("text"), limit):
+            total, size = 0, 0
+            for found, first, n in group:
+                total, size = total + per_row(weights[found], first), size + n
             out.append(logistic(bias + (total / np.maximum(size, 1) if mean else total)))
         keep = [n for n in batch.schema.names if n != "text"]
         yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), pa.array(np.concatenate(out), pa.float64())], [*keep, "score"])
@@ -100,4 +139,4 @@ def keep_below(docs: DataFrame, features: Features, weights: np.ndarray, bias: f
     return docs.mapInArrow(lambda it: _kept(it, features, sent.value, bias, mean, below), docs.schema)
 
 
-__all__ = ["BUCKETS", "Spans", "bucket", "gather", "held_out", "keep_below", "logistic", "sample", "score", "token_runs"]
+__all__ = ["BUCKETS", "Features", "Spans", "bucket", "gather", "held_out", "keep_below", "logistic", "sample", "score", "token_runs"]

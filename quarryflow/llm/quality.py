@@ -7,8 +7,8 @@ score is one sparse dot product, computed for whole batches at once.
 
 The model is fitted on at most ``LABELLED`` labelled rows outside the held-out fold (smallest id hashes);
 every row is scored over its whole text. Defined cases: a null or empty text gets the model's bias; labels
-that are null or without a document are ignored; of labels that repeat an id the largest counts; with no
-labels every score is 0.5; repeated rows are answered one by one; other columns are ignored.
+that are null or without a document are ignored; of labels that repeat an id the largest counts, and of texts that
+repeat a sampled id the least; with no labels every score is 0.5; repeated rows are answered one by one; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Spans, mix
-from .learn import BUCKETS, bucket, gather, held_out, logistic, sample, score, token_runs
+from .learn import BUCKETS, Features, bucket, gather, held_out, logistic, sample, score, token_runs
 
 #: Most labelled rows that the model is fitted on.
 LABELLED = 6000
@@ -34,7 +34,7 @@ _UPPER[0x41:0x5B] = 1
 _SHAPES = 12
 
 
-def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     kinds = _KIND[data]
     begins, ends, first = token_runs(kinds, offsets)
     n = len(begins)
@@ -69,6 +69,9 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return found.ravel(), first * 5, size
 
 
+features = Features(_features, 5, _KIND > 0, keep=2)
+
+
 def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
     """Weights and bias. ``rows``: label, buckets, counts."""
     z, n = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
@@ -93,8 +96,9 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = EPOCHS) ->
 
 def train(docs: DataFrame, labels: DataFrame, column: str = "quality", labelled: int = LABELLED) -> tuple[np.ndarray, float]:
     known = labels.where(F.col(column).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    known = known.groupBy("doc_id").agg(F.max(F.col(column).cast("int")).alias("label"))
-    return fit(gather(docs, sample(known, labelled, 6), labelled, features))
+    known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col(column).cast("int")).alias("label"))
+    sides = gather(docs, sample(known, labelled, 6), features)
+    return fit([(label, k, n) for label in sorted(sides) for k, n in sides[label]])
 
 
 def op6_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ The model is fitted on at most ``POSITIVES`` and ``UNLABELLED`` rows outside the
 hashes), of which only features that set the two sides apart are kept; every row is scored over its whole
 text. Features are 32-bit hashes, of which the kept ones are a sorted vocabulary: any other word weighs nothing
 instead of sharing a bucket with a kept one. Defined cases: a null or empty text gets the model's bias; labels that are null or without a document
-are ignored; of labels that repeat an id the largest counts; with no positives every score is 0; repeated
+are ignored; of labels that repeat an id the largest counts, and of texts that repeat a sampled id the least; with no positives every score is 0; repeated
 rows are answered one by one; other columns are ignored.
 """
 
@@ -21,12 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Spans, mix, runs
-from .learn import gather, held_out, keep_below, logistic, sample, score
+from .learn import Features, Sample, gather, held_out, keep_below, logistic, sample, score
 
 #: Most confirmed toxic rows, and most rows of any kind, that the model is fitted on.
 POSITIVES, UNLABELLED = 2000, 4000
-#: A feature is used if so many rows have it and the log of its rates' ratio is so many standard errors from zero.
-SUPPORT, ERRORS = 4, 4.0
+#: A feature is used if so many rows have it and the log of its rates' ratio is ``LEAST`` standard errors from zero. Its
+#: values are scaled by its share of ``ERRORS`` standard errors, to this power, so what chance may give moves scores little.
+#: Chosen by the area under the curve of cross-validation inside the training fold.
+SUPPORT, LEAST, ERRORS, TRUST = 4, 1.5, 4.0, 3
 ITERATIONS, RATE, DECAY = 300, 0.1, 1e-4
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -43,7 +45,7 @@ def bucket(h: np.ndarray) -> np.ndarray:
     return (h & _BITS).astype(np.int64)
 
 
-def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     begins, ends, first = runs(_WORD[data], offsets)
     spans = Spans(_LOWER[data])
     whole = spans.of(begins, ends)
@@ -58,6 +60,9 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return found.ravel(), first * 4, np.diff(first)
 
 
+features = Features(_features, 4, _WORD, once=True)
+
+
 class Weights:
     """Weights by feature: of a sorted vocabulary's own, and 0 of any other."""
 
@@ -74,8 +79,9 @@ class Weights:
         return Weights(self.vocabulary, self.own.astype(kind))
 
 
-def fit(positive: list[tuple[np.ndarray, np.ndarray]], unlabelled: list[tuple[np.ndarray, np.ndarray]], prior: float) -> tuple[Weights, float]:
-    """Weights and bias of the classifier whose non-negative PU risk is least. Rows are (features, counts)."""
+def fit(positive: Sample, unlabelled: Sample, prior: float) -> tuple[Weights, float]:
+    """Weights and bias of the classifier whose non-negative PU risk is least. Rows are (features, counts). ``prior`` is the
+    most that the unlabelled side is taken to have of positives."""
     none = Weights(np.empty(0, np.int64), np.empty(0))
     if not positive or not unlabelled:
         return none, -40.0
@@ -83,17 +89,23 @@ def fit(positive: list[tuple[np.ndarray, np.ndarray]], unlabelled: list[tuple[np
     seen = [np.bincount(np.searchsorted(all_features, np.concatenate([k for k, _ in side])), minlength=len(all_features)) for side in (positive, unlabelled)]
     rate_p, rate_u = ((n + 0.5) / (len(side) + 1) for n, side in zip(seen, (positive, unlabelled)))
     odds = np.log(rate_p / rate_u)
-    used = np.flatnonzero((seen[0] + seen[1] >= SUPPORT) & (np.abs(odds) >= ERRORS * np.sqrt(1 / (seen[0] + 0.5) + 1 / (seen[1] + 0.5))))
+    errors = np.abs(odds) / np.sqrt(1 / (seen[0] + 0.5) + 1 / (seen[1] + 0.5))
+    used = np.flatnonzero((seen[0] + seen[1] >= SUPPORT) & (errors >= LEAST))
     if not len(used):
         return none, float(np.log(max(prior, 1e-9) / max(1 - prior, 1e-9)))
     place = np.full(len(all_features), -1)
     place[used] = np.arange(len(used))
 
+    trust = np.minimum(1, errors[used] / ERRORS) ** TRUST
+    telling = (errors >= ERRORS) & (odds > 0)
+    if telling.any():  # what sets positives apart occurs on the unlabelled side at least as often as its share of positives has it
+        prior = min(prior, float(rate_u[telling].sum() / rate_p[telling].sum()))
+
     def matrix(side):
         r = np.repeat(np.arange(len(side)), [len(k) for k, _ in side])
         c, x = place[np.searchsorted(all_features, np.concatenate([k for k, _ in side]))], np.concatenate([n for _, n in side])
         ok = c >= 0
-        return r[ok], c[ok], np.minimum(x[ok], 3.0), len(side)
+        return r[ok], c[ok], np.minimum(x[ok], 3.0) * trust[c[ok]], len(side)
 
     p, u = matrix(positive), matrix(unlabelled)
     w, b = np.zeros(len(used)), float(np.log(prior / (1 - prior)))
@@ -120,20 +132,20 @@ def fit(positive: list[tuple[np.ndarray, np.ndarray]], unlabelled: list[tuple[np
         grown_b += gb * gb
         w -= RATE * g / np.sqrt(grown)
         b -= RATE * gb / np.sqrt(grown_b)
-    return Weights(all_features[used], w), float(b)
+    return Weights(all_features[used], w * trust), float(b)
 
 
-def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> tuple[Weights, float]:
+def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", positives: int = POSITIVES, unlabelled: int = UNLABELLED, prior: float | None = None) -> tuple[Weights, float]:
+    """The class prior is that of the unlabelled side. Where none is given it is the labelled rows' share of toxic ones, and in
+    either case no more than what the telling features allow, so a labelled part richer in toxic texts does no harm."""
     known = labels.where(F.col(column).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    known = known.groupBy("doc_id").agg(F.max(F.col(column).cast("int")).alias("label"))
-    prior = known.agg(F.avg("label")).first()[0] or 0.0
+    known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col(column).cast("int")).alias("label"))
+    prior = (known.agg(F.avg("label")).first()[0] or 0.0) if prior is None else prior
     prior = min(max(prior, 1e-4), 0.9)
-    any_kind = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id").distinct().withColumn("label", F.lit(0))
-    sides = [
-        [(k, n) for _, k, n in gather(docs, sample(rows, size, salt), size, features)]
-        for rows, size, salt in ((known.where("label = 1"), positives, 2), (any_kind, unlabelled, 3))
-    ]
-    return fit(*sides, prior)
+    any_kind = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    chosen = sample(known.where("label = 1"), positives, 2).unionByName(sample(any_kind, unlabelled, 3).withColumn("label", F.lit(0)))
+    sides = gather(docs, chosen, features)
+    return fit(sides.get(1, []), sides.get(0, []), prior)
 
 
 def op2_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:

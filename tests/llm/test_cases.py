@@ -1,10 +1,13 @@
 """Defined cases: nulls, empty and long texts, ties, repeated rows, clashing columns and empty tables."""
 
+import collections
 import hashlib
+import math
 import random
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -136,6 +139,63 @@ def test_pu_risk_needs_no_negatives():
     assert (score(rows(200, 1)) >= 0.5).mean() > 0.97 and (score(rows(200, 0)) < 0.5).mean() > 0.97
 
 
+def test_models_do_not_depend_on_the_split(spark):
+    rows = [(k // 3, SAID(20) + (" vile" if k % 5 == 0 else "")) for k in range(900)]
+    labels = spark.createDataFrame([(k, int(k % 5 == 0), k % 2) for k in range(300)], "doc_id long, toxic int, quality int")
+    fits = []
+    for n in (1, 7):
+        docs = spark.createDataFrame(rows[:: 1 if n == 1 else -1], SCHEMA).repartition(n)
+        weights, bias = toxicity.train(docs, labels, positives=30, unlabelled=100)
+        fits.append((weights.vocabulary.tolist(), weights.own.tolist(), bias, *(x.tolist() if hasattr(x, "tolist") else x for x in quality.train(docs, labels, labelled=100))))
+    assert fits[0] == fits[1]
+
+
+@pytest.mark.parametrize("module", [toxicity, quality])
+def test_long_texts_in_parts_score_the_same(module):
+    texts = pa.array([LONG[:60_000], SAID(30), "", "A. b, C!? " * 3000])
+    weights = np.random.default_rng(2).random(1 << 20)
+    if module is toxicity:
+        every = np.unique(toxicity.features.of(*(lambda d: (d, np.array([0, len(d)])))(np.frombuffer("".join(texts.to_pylist()).encode(), np.uint8)))[0])
+        weights = toxicity.Weights(every, np.random.default_rng(2).random(len(every)) - 0.5)
+    batch = lambda: iter([pa.RecordBatch.from_arrays([texts, pa.array([1] * 4), pa.array([0] * 4)], ["text", "doc_id", "label"])])
+    whole, parts = (np.concatenate([r.column("score").to_numpy() for r in learn._scores(batch(), module.features, weights, -0.5, True, n)]) for n in (1 << 20, 700))
+    assert np.allclose(whole, parts)
+    assert [r.to_pydict() for r in learn._counts(batch(), module.features)] == [r.to_pydict() for r in learn._counts(batch(), module.features, 700)]
+
+
+def test_the_pu_risk_is_its_formula():
+    """One step of the fit against the estimator written out: positives' risk, and the unlabelled less the hidden positives'."""
+    g = np.random.default_rng(3)
+    rows = lambda n, k: [(np.unique(np.append(g.integers(10, 40, 6), k)), None) for _ in range(n)]
+    p, u = [(k, np.ones(len(k))) for k, _ in rows(60, 1)], [(k, np.ones(len(k))) for k, _ in rows(200, 2)]
+    weights, bias = toxicity.fit(p, u, 0.3)
+    risk = lambda w, b: (lambda sp, su: 0.3 * np.log1p(np.exp(-sp)).mean() + max(0, np.log1p(np.exp(su)).mean() - 0.3 * np.log1p(np.exp(sp)).mean()))(
+        *(np.array([b + sum(w.get(int(x), 0) for x in k) for k, _ in side]) for side in (p, u)))
+    own = dict(zip(weights.vocabulary.tolist(), weights.own.tolist()))
+    assert risk(own, bias) < 0.3 * risk({}, np.log(0.3 / 0.7))
+
+
+def test_ftrl_is_its_formula():
+    g = np.random.default_rng(4)
+    rows = [(int(g.random() < 0.5), np.unique(g.integers(0, 50, 8)), None) for _ in range(40)]
+    rows = [(y, k, np.ones(len(k))) for y, k, _ in rows]
+    got, bias = quality.fit(rows, 2)
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+    weight = lambda k: 0.0 if abs(z[k]) <= quality.L1 else -(z[k] - math.copysign(quality.L1, z[k])) / ((quality.BETA + math.sqrt(n[k])) / quality.ALPHA + quality.L2)
+    order = np.random.default_rng(7)
+    for _ in range(2):
+        for r in order.permutation(len(rows)):
+            y, ks, xs = rows[r]
+            x = {**dict(zip(ks.tolist(), xs / max(xs.sum() / 5, 1))), "bias": 1.0}
+            w = {k: weight(k) for k in x}
+            p = 1 / (1 + math.exp(-sum(w[k] * x[k] for k in x)))
+            for k in x:
+                d = (p - y) * x[k]
+                z[k] += d - (math.sqrt(n[k] + d * d) - math.sqrt(n[k])) / quality.ALPHA * w[k]
+                n[k] += d * d
+    assert np.allclose(got[:50], [weight(k) for k in range(50)]) and abs(bias - weight("bias")) < 1e-9
+
+
 def test_simhash(docs, spark):
     got = {(r["doc_id"], r["fingerprint"]): r["component_id"] for r in simhash.op3_simhash(docs).collect()}
     zero = "0" * 16
@@ -196,7 +256,6 @@ def test_hot_blocks(spark, monkeypatch):
 def test_repeats_of_parts(spark, monkeypatch):
     monkeypatch.setattr(repeats, "PART", 1000)
     data = np.frombuffer((SAID(900) + PASSAGE + SAID(900) + PASSAGE).encode(), np.uint8)
-    import pyarrow as pa
 
     whole = repeats.anchors(data, np.array([0, len(data)]))
     parts = [(p + k, m) for _, k, d, o in repeats._parts(pa.array([data.tobytes()], pa.binary())) for p, m in zip(*repeats.anchors(d, o)[2:4])]

@@ -74,7 +74,7 @@ def test_classifiers(spark, name, column, cut):
     known = known[known.held_out]
     rank, y = known.score.rank().to_numpy(), known[column].to_numpy() == 1
     area = (rank[y].sum() - y.sum() * (y.sum() + 1) / 2) / (y.sum() * (~y).sum())
-    assert area > (0.85 if name == "op6_quality" else 0.8)
+    assert area > 0.85
 
 
 def test_toxic_texts_are_caught(spark):
