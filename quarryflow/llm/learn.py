@@ -101,7 +101,7 @@ def gather(docs: DataFrame, chosen: DataFrame, features: Features) -> dict[int,
     rows = rows.mapInArrow(lambda it: _counts(it, features), "doc_id long, label int, ids binary, counts binary").collect()
     out: dict[int, Sample] = {}
     for _, label, k, n in sorted(rows, key=lambda r: (r[0], r[1])):
-        out.setdefault(label, []).append((np.frombuffer(k, np.uint32).astype(np.int64), np.frombuffer(n, np.uint32).astype(np.float64)))
+        out.setdefault(label, []).append((np.frombuffer(k, np.uint32), np.frombuffer(n, np.uint32)))
     return out
 
 

@@ -132,7 +132,7 @@ def fit(positive: Sample, unlabelled: Sample, prior: float) -> tuple[Weights, fl
         grown_b += gb * gb
         w -= RATE * g / np.sqrt(grown)
         b -= RATE * gb / np.sqrt(grown_b)
-    return Weights(all_features[used], w * trust), float(b)
+    return Weights(all_features[used].astype(np.int64), w * trust), float(b)
 
 
 def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", positives: int = POSITIVES, unlabelled: int = UNLABELLED, prior: float | None = None) -> tuple[Weights, float]:

@@ -163,11 +163,12 @@ def test_long_texts_in_parts_score_the_same(module):
     assert [r.to_pydict() for r in learn._counts(batch(), module.features)] == [r.to_pydict() for r in learn._counts(batch(), module.features, 700)]
 
 
-def test_the_pu_risk_is_its_formula():
-    """One step of the fit against the estimator written out: positives' risk, and the unlabelled less the hidden positives'."""
+def test_the_fit_lowers_the_pu_risk():
+    """The estimator written out: the positives' risk, and the unlabelled's less the hidden positives'."""
     g = np.random.default_rng(3)
     rows = lambda n, k: [(np.unique(np.append(g.integers(10, 40, 6), k)), None) for _ in range(n)]
-    p, u = [(k, np.ones(len(k))) for k, _ in rows(60, 1)], [(k, np.ones(len(k))) for k, _ in rows(200, 2)]
+    p, u = ([(k, np.ones(len(k))) for k, _ in side] for side in (rows(60, 1), rows(140, 2) + rows(60, 1)))
+    p, u = list(p), list(u)
     weights, bias = toxicity.fit(p, u, 0.3)
     risk = lambda w, b: (lambda sp, su: 0.3 * np.log1p(np.exp(-sp)).mean() + max(0, np.log1p(np.exp(su)).mean() - 0.3 * np.log1p(np.exp(sp)).mean()))(
         *(np.array([b + sum(w.get(int(x), 0) for x in k) for k, _ in side]) for side in (p, u)))
