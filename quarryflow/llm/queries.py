@@ -28,6 +28,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import chat, decontam, warc
+    from . import chat, decontam, repeats, warc
 
-    return {"op7_warc": warc.ORACLE, "op9_chat": chat.ORACLE, "op10_decontam": decontam.ORACLE}
+    return {"op4_repeats": repeats.ORACLE, "op7_warc": warc.ORACLE, "op9_chat": chat.ORACLE, "op10_decontam": decontam.ORACLE}

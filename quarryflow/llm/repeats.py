@@ -15,8 +15,10 @@ from there on only. Neighbours in the merged order that share ``GRAM`` bytes are
 shared suffix and shared left context tell which owned strings repeat. Bytes decide, hashes only propose.
 
 A cluster holds what its anchor's texts differ in, so an anchor of over ``HOT`` places is not clustered: its
-strings are counted one by one under two independent 64-bit hashes, in a reduced count and a join that adaptive
-execution splits. They are as many at any size, only dealt evenly.
+strings are counted one by one under their 256-bit digests, which decide as they do for whole texts, in a reduced count
+and a join that adaptive execution splits. They are as many at any size, only dealt evenly.
+
+Runs are merged target by target, and there are as many targets as keep one at about ``TARGET`` places.
 
 Records of a task that are equal to the last byte are settled there, all their strings repeat, and one of
 them is sent on, so a passage of many copies costs one record per task, not one per copy.
@@ -46,16 +48,12 @@ LENGTH, GRAM = 200, 64
 #: Substrings of GRAM bytes in a string of LENGTH, of which one is its anchor.
 CHOICE = LENGTH - GRAM + 1
 _PLACE = 24
-#: Places of an anchor that are clustered.
-HOT = 100_000
+#: Places of an anchor that are clustered, and places whose records are merged at once, in the mean.
+HOT, TARGET = 100_000, 50_000
 #: Bytes of a long text that are hashed at once, and of records that a task sorts into one run.
 PART, RUN = 1 << 22, 16 << 20
 
 
-#: Another alphabet, so that the second hash of a string is not the first's.
-_OTHER = np.random.default_rng(11).permutation(256).astype(np.uint8)
-
-
 def _least(key: np.ndarray, size: int) -> np.ndarray:
     """Least of key[i : i + size] for every i that has so many."""
     have, step = key, 1
@@ -319,21 +317,21 @@ def _send(batches: Iterator[pa.RecordBatch], targets: int) -> Iterator[pa.Record
 
 
 def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Two hashes and the place of each string that hot anchors own."""
+    """The digest and the place of each string that hot anchors own."""
     for batch in batches:
         data, offsets = raw_text(batch.column("text"))
         for row, (i, sub, places) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("id", "sub", "places")))):
-            text = data[offsets[row] : offsets[row + 1]]
+            text = data[offsets[row] : offsets[row + 1]].tobytes()
             packed = np.array(places, np.int64)
             first, last = (packed >> 16) - (packed >> 8 & 255), (packed >> 16) - (packed & 255)
             ok = (first >= 0) & (last + LENGTH <= len(text))
             first, last = first[ok], last[ok]
             n = last - first + 1
             begin = np.unique(np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n))
-            hashes = [Spans(x).of(begin, begin + LENGTH).view(np.int64) for x in (text, _OTHER[text])]
-            columns = [*map(pa.array, hashes), pa.array(np.full(len(begin), i)), pa.array(np.full(len(begin), sub, np.int32)), pa.array(begin)]
             for k in range(0, len(begin), 100_000):
-                yield pa.RecordBatch.from_arrays([c.slice(k, 100_000) for c in columns], ["x", "y", "id", "sub", "begin"])
+                own = begin[k : k + 100_000]
+                digests = pa.array([hashlib.sha256(text[b : b + LENGTH]).digest() for b in own.tolist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([digests, pa.array(np.full(len(own), i)), pa.array(np.full(len(own), sub, np.int32)), pa.array(own)], ["digest", "id", "sub", "begin"])
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -413,27 +411,34 @@ def remove(docs: DataFrame) -> DataFrame:
     name = f"quarryflow_{uuid.uuid4().hex}"
     once.write.format("parquet").option("compression", "zstd").option("path", scratch(spark, "texts")).bucketBy(buckets, "id").sortBy("id").saveAsTable(name)
     texts = spark.table(name)
+    texts.schema  # resolved now, so the catalog can forget it; the files are external and stay as scratch
+    spark.sql(f"drop table {name}")
 
     found = texts.select("id", "text").mapInArrow(_anchor_rows, "h long, id long, at long")
     # counts are written before they are joined: adaptive execution splits a hot key only between two plain exchanges
     twice = materialize(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h", (F.col("n") > HOT).alias("hot")), "twice")
     places = materialize(found.join(twice, "h").groupBy("id", "hot").agg(F.collect_list("at").alias("places")), "places")
     usual, hot = (places.where(f"{'' if x else 'not '}hot").select("id", "places") for x in (False, True))
-    sent = texts.select("id", "sub", "text").join(usual, "id").mapInArrow(lambda it: _send(it, buckets), "target int, run binary, " + _RANGE)
+    targets = max(buckets, (usual.agg(F.sum(F.size("places"))).first()[0] or 0) // TARGET)
+    sent = texts.select("id", "sub", "text").join(usual, "id").mapInArrow(lambda it: _send(it, targets), "target int, run binary, " + _RANGE)
     sent = materialize(sent, "runs")
     merged = sent.where("target is not null").select("target", "run").repartition(buckets, "target").sortWithinPartitions("target").mapInArrow(_merge, _RANGE)
     ranges = merged.unionByName(sent.where("target is null").select("id", "sub", "begin", "stop"))
     if not hot.isEmpty():
-        strings = texts.select("id", "sub", "text").join(hot, "id").mapInArrow(_strings, "x long, y long, id long, sub int, begin long")
-        again = materialize(strings.groupBy("x", "y").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "again")
-        ranges = ranges.unionByName(strings.join(again, ["x", "y"], "left_semi").select("id", "sub", "begin", (F.col("begin") + LENGTH).alias("stop")))
+        strings = texts.select("id", "sub", "text").join(hot, "id").mapInArrow(_strings, "digest binary, id long, sub int, begin long")
+        again = materialize(strings.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "again")
+        ranges = ranges.unionByName(strings.join(again, "digest", "left_semi").select("id", "sub", "begin", (F.col("begin") + LENGTH).alias("stop")))
     ranges = ranges.groupBy("id").agg(F.collect_list(F.struct("sub", "begin", "stop")).alias("ranges"))
     left = texts.select("id", "key", "sub", "text").join(ranges, "id").mapInArrow(_cut, "id long, key binary, n_removed long, n_spans long, kept binary")
 
     own = rows.select("doc_id", "id", "key", "n_bytes")
-    copies = materialize(own.where(F.col("n_bytes") >= LENGTH).groupBy("id", "key").agg(F.count("*").alias("copies")).where("copies > 1"), "copies")
-    out = own.join(copies, ["id", "key"], "left").join(left, ["id", "key"], "left")
-    gone, cut = F.col("copies").isNotNull(), F.col("n_removed") > 0
+    copied = own.where(F.col("n_bytes") >= LENGTH).groupBy("id", "key").agg(F.count("*").alias("copies")).where("copies > 1")
+    copied = materialize(copied.select("id", "key"), "copied")
+    # one table of what became of texts, so that its join with the rows has plain exchanges and copies of one text can be split
+    lost = left.where("n_removed > 0").join(copied, ["id", "key"], "left_anti").withColumn("gone", F.lit(False))
+    lost = lost.unionByName(copied.withColumn("gone", F.lit(True)), allowMissingColumns=True)
+    out = own.join(materialize(lost, "lost"), ["id", "key"], "left")
+    gone, cut = F.coalesce("gone", F.lit(False)), F.col("n_removed") > 0
     return out.select(
         "doc_id", "n_bytes",
         F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
@@ -445,3 +450,19 @@ def remove(docs: DataFrame) -> DataFrame:
 
 def op4_repeats(docs: DataFrame) -> DataFrame:
     return remove(docs).drop("kept")
+
+
+ORACLE = """with t as (select doc_id, coalesce(text, '') as text, hex(encode(coalesce(text, ''))) as h, row_number() over () as r from documents),
+b as (select r, n, k, substr(h, 400 * k + 1, 800) as piece from (select r, h, len(h) // 2 as n, unnest(range(0, len(h) // 400 + 1)) as k from t)),
+s as (select r, n, 200 * k + o as i, substr(piece, 2 * o + 1, 400) as x from (select *, unnest(range(0, 200)) as o from b)),
+w as (select r, i, md5(x) as x from s where i + 200 <= n),
+m as (select r, i from w where x in (select x from w group by x having count(*) > 1)),
+e as (select r, i, case when i <= lag(i) over (partition by r order by i) + 200 then 0 else 1 end as new_ from m),
+g as (select r, i, sum(new_) over (partition by r order by i) as k from e),
+p as (select r, min(i) as a, max(i) + 200 as b from g group by r, k),
+q as (select r, a, b, lag(b, 1, 0) over (partition by r order by a) as before from p),
+c as (select q.r, count(*) as n_spans, sum(b - a) as n_removed, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' order by a) as kept, max(b) as last
+  from q join t on q.r = t.r group by q.r)
+select t.doc_id, cast(len(h) // 2 as bigint) as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, cast(coalesce(n_spans, 0) as bigint) as n_spans,
+  sha256(unhex(case when c.r is null then h else kept || substr(h, 2 * last + 1) end)) as kept_sha256
+from t left join c on t.r = c.r"""

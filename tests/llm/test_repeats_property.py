@@ -27,8 +27,8 @@ def removed(texts, length, gram, targets, hot):
         merged = repeats._merge(iter([pa.RecordBatch.from_arrays([pa.array([r[c] for r in runs], t) for c, t in (("target", pa.int32()), ("run", pa.binary()))], ["target", "run"])]))
         ranges = [r for b in merged for r in b.to_pylist()] + [r for r in sent if r["target"] is None]
         strings = [r for b in repeats._strings(iter([batch(True)])) for r in b.to_pylist()]
-        again = collections.Counter((r["x"], r["y"]) for r in strings)
-        ranges += [{**r, "stop": r["begin"] + length} for r in strings if again[r["x"], r["y"]] > 1]
+        again = collections.Counter(r["digest"] for r in strings)
+        ranges += [{**r, "stop": r["begin"] + length} for r in strings if again[r["digest"]] > 1]
     out = {t: np.zeros(len(t), bool) for t in texts}
     for r in ranges:
         assert r["stop"] - r["begin"] >= length
