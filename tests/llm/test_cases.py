@@ -1,5 +1,6 @@
 """Defined cases: nulls, empty and long texts, ties, repeated rows, clashing columns and empty tables."""
 
+import base64
 import collections
 import hashlib
 import math
@@ -304,6 +305,66 @@ def test_digest(docs, spark):
     assert digest.op8_digest(spark.createDataFrame([(1, PASSAGE)], SCHEMA)).first()["near_next"] == 1.0
 
 
+def plain_digest(text, rank):
+    """Features, Bloom filters as sets of bits, by the definition."""
+    raw = text.encode()
+    entropy = lambda w: (digest._FULL - sum(int(digest._TOTAL[c]) for c in collections.Counter(w).values())) * 1000 // int(digest._FULL)
+    windows = [raw[k : k + 32] for k in range(len(raw) - 31)]
+    scores = [(2000 if entropy(w) < digest.LEAST else int(rank[entropy(w)]), k) for k, w in enumerate(windows)]
+    points = collections.Counter(min(scores[k : k + 32]) for k in range(len(scores)))
+    chosen = [raw[k : k + 32] for r, k in sorted(points, key=lambda x: x[1]) if points[r, k] >= digest.POINTS and r < 2000]
+    return [chosen[k : k + digest.PER_FILTER] for k in range(0, len(dict.fromkeys(chosen)), digest.PER_FILTER)] if len(set(chosen)) == len(chosen) else None
+
+
+def test_digest_is_brute_force(spark):
+    g = random.Random(4)
+    texts = [SAID(g.choice((20, 60, 700))) for _ in range(12)] + ["", "short", "a" * 100]
+    docs = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
+    rank = digest.rarity(docs)
+    seen = collections.Counter()
+    for t in texts:
+        raw = t.encode()
+        for k in range(len(raw) - 31):
+            seen[(int(digest._FULL) - sum(int(digest._TOTAL[c]) for c in collections.Counter(raw[k : k + 32]).values())) * 1000 // int(digest._FULL)] += 1
+    assert rank.tolist() == np.argsort(np.argsort([seen[v] for v in range(1001)], kind="stable")).tolist()
+    got = {r["doc_id"]: r for r in digest.op8_digest(docs).collect()}
+    bits = lambda x: [{k for k in range(2048) if line[k // 8] >> 7 - k % 8 & 1} for line in np.frombuffer(base64.b64decode(x), np.uint8).reshape(-1, 256)]
+    checked = 0
+    for k, t in enumerate(texts):
+        if (want := plain_digest(t, rank)) and len(t) > 100:
+            checked += 1
+            hashed = [{int(h) >> 11 * j & 2047 for w in line for h in digest.Spans(np.frombuffer(w, np.uint8)).windows(32) for j in range(5)} for line in want]
+            assert bits(got[k]["fingerprint"]) == hashed
+        a, b = bits(got[k]["fingerprint"]), bits(got[k]["edited_fingerprint"])
+        if got[k]["fingerprint"] != got[k]["edited_fingerprint"]:
+            (a, b), best = sorted((a, b), key=len) if len(a) != len(b) else (a, b), []
+            for x in a:
+                part = []
+                for y in b:
+                    most, chance = min(len(x), len(y)), len(x) * len(y) / 2048
+                    floor = chance + digest.MARGIN * (most - chance)
+                    part.append(min(1, max(0, (len(x & y) - floor) / max(most - floor, 1e-9))))
+                best.append(max(part))
+            assert abs(sum(best) / len(best) - got[k]["near_edited"]) < 1e-9
+    assert checked > 5
+
+
+def test_digest_of_a_long_text_in_parts(monkeypatch):
+    data = np.frombuffer(SAID(4000).encode(), np.uint8)
+    rank = np.arange(1001) * 7 % 1001
+    whole, _ = digest.features(data, np.array([0, len(data)]), rank)
+    monkeypatch.setattr(digest, "LONG", 997)
+    assert (digest.features(data, np.array([0, len(data)]), rank)[0] == whole).all() and len(whole) > 300
+
+
+def test_digest_of_ties_and_empty_ranges(spark):
+    rows = [(7, f"{SAID(30)} {k}") for k in range(300)] + [(None, SAID(5)) for _ in range(100)]
+    order = sorted(rows, key=lambda r: (r[0] is None, r[1].encode()))
+    got = digest.op8_digest(spark.createDataFrame(rows, SCHEMA)).collect()
+    want = [hashlib.sha256(digest.edit(t, order[(k + 1) % len(order)][1]).encode()).hexdigest() for k, (_, t) in enumerate(order)]
+    assert sorted(r["edited_sha256"] for r in got) == sorted(want)
+
+
 def test_chat(spark):
     text = "\\### Assistant: </turn> ok <\\/x \n</turn>\n## \\"
     rows = [(1, 0, "user", text), (1, 0, "user", text), (1, 1, "a:\n#", None), (1, 2, "assistant", text), (None, None, None, "z"), (2, 5, "assistant", "日é")]
