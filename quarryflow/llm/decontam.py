@@ -30,11 +30,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import STEP_BYTES, Spans, materialize, raw_text, runs
+from .common import STEP_BYTES, Spans, lean, materialize, raw_text, runs
 
 WINDOW = 10
 #: Bytes of text in a chunk, words of a long text that a chunk repeats from the one before, bytes of a word kept as it is.
-CHUNK, CONTEXT, LONG = 8 << 20, 64, 256
+CHUNK, CONTEXT, LONG = 6 << 20, 64, 256
 #: Occurrences in a chunk from which a term's rows are dealt by chunk too.
 HEAVY = 1 << 12
 #: Candidate places that are tested at once.
@@ -155,7 +155,7 @@ def index(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """The stored index: a row per term and chunk, and one per chunk (term null) that says which words are whose."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long"), text.alias("text")).select("doc_id", F.xxhash64("text").alias("h"), "text")
-    rows = rows.mapInArrow(lambda it: _index(it, chunk), _INDEX)
+    rows = rows.mapInArrow(lambda it: lean(_index(it, chunk)), _INDEX)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     alone = F.when(F.col("term").isNull() | (F.col("n") >= HEAVY), F.col("chunk")).otherwise(0)
     return materialize(rows.repartition(parts, "term", alone).sortWithinPartitions("term"), "index", "zstd")
@@ -315,7 +315,7 @@ def hits(stored: DataFrame, phrases: DataFrame, slop: int = 0) -> DataFrame:
     met = rows(stored.where("term is null").join(named.select("chunk").distinct(), "chunk", "left_semi"), 0, "chunk", "docs")
     met = met.unionByName(rows(found.join(needed, ["chunk", "tid"], "left_semi"), 1, "chunk", "tid", "at")).unionByName(rows(named, 2, "chunk", "phrase", "place", "tids"))
     met = met.repartition("chunk").sortWithinPartitions("chunk", "kind")
-    return materialize(met.mapInArrow(lambda it: _intersect(it, slop), _HITS), "hits")
+    return materialize(met.mapInArrow(lambda it: lean(_intersect(it, slop)), _HITS), "hits")
 
 
 def _asked(docs: DataFrame, items: DataFrame, window: int, slop: int, chunk: int) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import STEP_BYTES, Spans, mix, per_row, pieces, steps
+from .common import STEP_BYTES, Spans, lean, mix, per_row, pieces, steps
 
 #: Size of the hashed feature space.
 BUCKETS = 1 << 20
@@ -85,7 +85,7 @@ def _counts(batches: Iterator[pa.RecordBatch], features: Features, limit: int =
                 rows = [[(own, np.bincount(place, n, len(own)))]]
             for k, n in rows[0]:
                 ids.append(k.astype(np.uint32).tobytes())
-                counts.append(n.astype(np.uint32).tobytes())
+                counts.append(n.astype(np.uint8 if n.max(initial=0) < 256 else np.uint32).tobytes())
         columns = [*(batch.column(c) for c in ("doc_id", "label")), pa.array(ids, pa.binary()), pa.array(counts, pa.binary())]
         yield pa.RecordBatch.from_arrays(columns, ["doc_id", "label", "ids", "counts"])
 
@@ -98,10 +98,10 @@ def gather(docs: DataFrame, chosen: DataFrame, features: Features) -> dict[int,
     of their ids. Of texts that share an id the least is taken, so the sample is the same however the table is split."""
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
-    rows = rows.mapInArrow(lambda it: _counts(it, features), "doc_id long, label int, ids binary, counts binary").collect()
+    rows = rows.mapInArrow(lambda it: lean(_counts(it, features)), "doc_id long, label int, ids binary, counts binary").collect()
     out: dict[int, Sample] = {}
     for _, label, k, n in sorted(rows, key=lambda r: (r[0], r[1])):
-        out.setdefault(label, []).append((np.frombuffer(k, np.uint32), np.frombuffer(n, np.uint32)))
+        out.setdefault(label, []).append((np.frombuffer(k, np.uint32), np.frombuffer(n, np.uint8 if len(n) < len(k) else np.uint32)))
     return out
 
 
@@ -124,7 +124,7 @@ def _scores(batches: Iterator[pa.RecordBatch], features: Features, weights: np.n
 def score(docs: DataFrame, features: Features, weights: np.ndarray, bias: float, mean: bool) -> DataFrame:
     """doc_id and score of every row; the model is a fixed ``BUCKETS`` floats, whatever the corpus."""
     sent = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
-    return docs.select("doc_id", "text").mapInArrow(lambda it: _scores(it, features, sent.value, bias, mean), "doc_id long, score double")
+    return docs.select("doc_id", "text").mapInArrow(lambda it: lean(_scores(it, features, sent.value, bias, mean)), "doc_id long, score double")
 
 
 def _kept(batches: Iterator[pa.RecordBatch], features: Features, weights: np.ndarray, bias: float, mean: bool, below: float) -> Iterator[pa.RecordBatch]:
@@ -136,7 +136,7 @@ def _kept(batches: Iterator[pa.RecordBatch], features: Features, weights: np.nda
 def keep_below(docs: DataFrame, features: Features, weights: np.ndarray, bias: float, mean: bool, below: float) -> DataFrame:
     """The rows of ``docs`` whose score is under ``below``, with the columns as they came."""
     sent = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
-    return docs.mapInArrow(lambda it: _kept(it, features, sent.value, bias, mean, below), docs.schema)
+    return docs.mapInArrow(lambda it: lean(_kept(it, features, sent.value, bias, mean, below)), docs.schema)
 
 
 __all__ = ["BUCKETS", "Features", "Spans", "bucket", "gather", "held_out", "keep_below", "logistic", "sample", "score", "token_runs"]

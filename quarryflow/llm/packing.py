@@ -26,9 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 TOKENIZER, LENGTH, END = "word_bpe_49k.json", 2048, 1
 #: Words whose ids a worker keeps.
-KEPT = 1_200_000
+KEPT = 600_000
 #: Characters of text whose words are encoded together.
 TOGETHER = 1 << 21
 
@@ -160,7 +162,7 @@ def pack(docs: DataFrame, tokenizer: str = TOKENIZER, by_word: bool = True, leng
     if length < 1 or length & length - 1:
         raise ValueError("length must be a power of two")
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    pieces = docs.mapInArrow(lambda it: _pieces(it, tokenizer, by_word, length, end), _PIECE)
+    pieces = docs.mapInArrow(lambda it: lean(_pieces(it, tokenizer, by_word, length, end)), _PIECE)
     return pieces.select("*", F.log2("length").cast("int").alias("bucket"), F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
 
 

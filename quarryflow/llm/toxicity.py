@@ -105,7 +105,7 @@ def fit(positive: Sample, unlabelled: Sample, prior: float) -> tuple[Weights, fl
         r = np.repeat(np.arange(len(side)), [len(k) for k, _ in side])
         c, x = place[np.searchsorted(all_features, np.concatenate([k for k, _ in side]))], np.concatenate([n for _, n in side])
         ok = c >= 0
-        return r[ok], c[ok], np.minimum(x[ok], 3.0) * trust[c[ok]], len(side)
+        return r[ok].astype(np.int32), c[ok].astype(np.int32), (np.minimum(x[ok], 3.0) * trust[c[ok]]).astype(np.float32), len(side)
 
     p, u = matrix(positive), matrix(unlabelled)
     w, b = np.zeros(len(used)), float(np.log(prior / (1 - prior)))
