@@ -30,7 +30,7 @@ from .common import lean
 
 TOKENIZER, LENGTH, END = "word_bpe_49k.json", 2048, 1
 #: Words whose ids a worker keeps.
-KEPT = 600_000
+KEPT = 1_200_000
 #: Characters of text whose words are encoded together.
 TOGETHER = 1 << 21
 

@@ -2,9 +2,10 @@
 
 Writing and reading go through Spark's own file sources, so any store that Spark reaches will do. Each record
 is a gzip member; Spark's text writer puts a zero byte after every row, which is member padding to gzip
-readers. Files hold at most ``PER_FILE`` records, which bounds what a reading task holds.
+readers. A file ends with the record that takes it to ``FILE`` bytes, which bounds what a reading task holds; rows leave
+it in batches of about ``BATCH`` bytes of payload.
 
-The reader takes members or plain version lines as they come, checks lengths and block digests, and after a
+The reader takes members, of one record or several, or plain version lines as they come, checks lengths and block digests, and after a
 failed check looks for the next gzip member or ``WARC/`` line, goes on there and reports the bytes between as a
 quarantined gap. Records inside a gap whose start is damaged are found again by that search.
 
@@ -27,8 +28,10 @@ from pyspark.sql import functions as F
 
 from .common import materialize, scratch
 
-#: Payloads under so many bytes are never revisits; records in one file; bytes of headers that are searched where no member bounds them.
-LEAST, PER_FILE, HEADERS = 100, 5000, 1 << 16
+#: Payloads under so many bytes are never revisits; bytes of headers that are searched where no member bounds them.
+LEAST, HEADERS = 100, 1 << 16
+#: Compressed bytes of a file, and bytes of payload in a batch that is read.
+FILE, BATCH = 32 << 20, 8 << 20
 DATE = "1970-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _GZIP, _VERSION, _END = b"\x1f\x8b\x08", b"WARC/", b"\r\n\r\n"
@@ -74,27 +77,33 @@ def member(raw: bytes, level: int = 1) -> bytes:
     return z.compress(raw) + z.flush()
 
 
-def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "digest", "refers_to")))
-        yield pa.RecordBatch.from_arrays([pa.array([member(record(i, u, h, d, r)) for i, u, h, d, r in rows], pa.binary())], ["value"])
+def _members(batches: Iterator[pa.RecordBatch], file: int) -> Iterator[pa.RecordBatch]:
+    """Members one after the other, a row for each file."""
+    held, size = [], 0
 
+    def row() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([b"\0".join(held)], pa.binary())], ["value"])
 
-def write(assigned: DataFrame, path: str, per_file: int = PER_FILE) -> None:
-    """Archives in the new folder ``path``."""
-    rows = assigned.select("page_id", "url", F.col("html").cast("binary"), "digest", "refers_to").mapInArrow(_members, "value binary")
-    rows.select(F.col("value").cast("string")).write.option("lineSep", "\0").option("maxRecordsPerFile", per_file).text(path)
+    for batch in batches:
+        for i, u, h, d, r in zip(*(batch.column(c) for c in ("page_id", "url", "html", "digest", "refers_to"))):
+            held.append(member(record(i.as_py(), u.as_py(), h.as_py(), d.as_py(), r.as_py())))
+            size += len(held[-1])
+            if size >= file:
+                yield row()
+                held, size = [], 0
+    if held:
+        yield row()
 
 
-def _next(data: bytes, at: int) -> int:
-    """Where the next member or version line may begin, from ``at`` on."""
-    found = [x for x in (data.find(_GZIP, at), data.find(_VERSION, at)) if x >= 0]
-    return min(found, default=len(data))
+def write(assigned: DataFrame, path: str, file: int = FILE) -> None:
+    """Archives in the new folder ``path``."""
+    rows = assigned.select("page_id", "url", F.col("html").cast("binary"), "digest", "refers_to").mapInArrow(lambda it: _members(it, file), "value binary")
+    rows.select(F.col("value").cast("string")).write.option("lineSep", "\0").option("maxRecordsPerFile", 1).text(path)
 
 
-def _parse(data: bytes, at: int, alone: bool) -> tuple[dict[str, str], bytes, int]:
+def _parse(data: bytes, at: int, member: bool) -> tuple[dict[str, str], bytes, int]:
     """Headers, block and end of the record at ``at``; ValueError says which check failed."""
-    stop = data.find(_END, at, len(data) if alone else at + HEADERS)  # a member of its own bounds its headers
+    stop = data.find(_END, at, len(data) if member else at + HEADERS)  # a member bounds its headers
     if not data.startswith(_VERSION, at) or stop < 0:
         raise ValueError("no record header")
     lines = data[at:stop].decode("utf-8", "replace").split("\r\n")
@@ -111,11 +120,25 @@ def _parse(data: bytes, at: int, alone: bool) -> tuple[dict[str, str], bytes, in
         raise ValueError("block digest differs")
     if data[end : end + 4] != _END:
         raise ValueError("no record end")
-    if alone and end + 4 != len(data):
-        raise ValueError("bytes after the record")
     return headers, block, end + 4
 
 
+def _inside(raw: bytes) -> Iterator[tuple[dict[str, str] | None, bytes, str]]:
+    """(headers, block, "") of the sound records of a member, (None, b"", reason) where one is not."""
+    at, lost = 0, False
+    while at < len(raw):
+        try:
+            headers, block, at = _parse(raw, at, True)
+            yield headers, block, ""
+            lost = False
+        except ValueError as e:
+            if not lost:
+                yield None, b"", str(e)
+            lost, at = True, raw.find(_VERSION, at + 1)
+            if at < 0:
+                return
+
+
 def _inflate(data: bytes, at: int) -> tuple[bytes, int]:
     z, out, k = zlib.decompressobj(31), [], at
     while not z.eof and k < len(data):
@@ -127,8 +150,10 @@ def _inflate(data: bytes, at: int) -> tuple[bytes, int]:
 
 
 def salvage(data: bytes) -> Iterator[tuple[int, int, dict[str, str] | None, bytes, str]]:
-    """(start, end, headers, block, "") of each sound record, (start, end, None, b"", reason) of each gap, in order."""
+    """(start, end, headers, block, "") of each sound record, (start, end, None, b"", reason) of each gap, in order. Records
+    and gaps of one member have its start and end."""
     at, gap, why = 0, None, ""
+    ahead = dict.fromkeys((_GZIP, _VERSION), -1)  # where each begins next: a search is never made twice
     while at < len(data):
         if gap is None and data[at] in b"\0\r\n":  # padding
             at += 1
@@ -136,18 +161,24 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, dict[str, str] | None, byte
         try:
             if data.startswith(_GZIP, at):
                 raw, end = _inflate(data, at)
-                headers, block, _ = _parse(raw, 0, True)
+                found = list(_inside(raw))
+                if not any(h for h, _, _ in found):
+                    raise ValueError(found[0][2] if found else "no record header")
             else:
                 headers, block, end = _parse(data, at, False)
+                found = [(headers, block, "")]
         except (ValueError, zlib.error) as e:
             if gap is None:
                 gap, why = at, str(e)
-            at = _next(data, at + 1)
+            for x in ahead:
+                if ahead[x] <= at:
+                    ahead[x] = next_at if (next_at := data.find(x, at + 1)) >= 0 else len(data)
+            at = min(ahead.values())
             continue
         if gap is not None:
             yield gap, at, None, b"", why
             gap = None
-        yield at, end, headers, block, ""
+        yield from ((at, end, *x) for x in found)
         at = end
     if gap is not None:
         yield gap, len(data), None, b"", why
@@ -159,9 +190,14 @@ _ROW = "path string, start long, stop long, reason string, type string, record_i
 def _records(batches: Iterator[pa.RecordBatch], payloads: bool) -> Iterator[pa.RecordBatch]:
     strip = lambda x: x and x.strip("<>").removeprefix("urn:page:")
     kinds = [pa.string(), pa.int64(), pa.int64(), *[pa.string()] * 5, pa.int64(), pa.string(), pa.binary()]
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows) if rows else [[]] * len(kinds)
+        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], [x.split()[0] for x in _ROW.split(", ")])
+
     for batch in batches:
         for path, content in zip(batch.column("path"), batch.column("content")):
-            rows, name = [], path.as_py()
+            rows, name, size_held = [], path.as_py(), 0
             for start, stop, h, block, why in salvage(content.as_py() or b""):
                 if h is None:
                     rows.append((name, start, stop, why, *[None] * 7))
@@ -176,8 +212,11 @@ def _records(batches: Iterator[pa.RecordBatch], payloads: bool) -> Iterator[pa.R
                     rows.append((name, start, stop, "payload digest differs", *[None] * 7))
                     continue
                 rows.append((name, start, stop, None, h.get("warc-type"), strip(h.get("warc-record-id")), h.get("warc-target-uri"), strip(h.get("warc-refers-to")), size, digest, payload if payloads else None))
-            columns = zip(*rows) if rows else [[]] * len(kinds)
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], [x.split()[0] for x in _ROW.split(", ")])
+                size_held += 1000 + (len(payload) if payloads else 0)
+                if size_held >= BATCH:
+                    yield batch_of(rows)
+                    rows, size_held = [], 0
+            yield batch_of(rows)
 
 
 def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:

@@ -469,3 +469,37 @@ def test_salvage(packed):
 def test_warc_keeps_pages_of_long_urls(spark):
     pages = spark.createDataFrame([(1, "data:," + "x" * 100_000, "<p>"), (2, "u", "<p>")], "page_id long, url string, html string")
     assert sorted(r["page_id"] for r in warc.op7_warc(pages).collect()) == [1, 2]
+
+
+def test_salvage_of_members_of_several_records():
+    records = [warc.record(k, "u", SAID(30).encode(), hashlib.sha256(b"").hexdigest(), None) for k in range(5)]
+    bad = bytearray(b"".join(records))
+    assert [h is not None for *_, h, _, _ in warc.salvage(warc.member(bytes(bad)) + b"\0" + warc.member(records[0]))] == [True] * 6
+    bad[len(records[0]) + len(records[1]) - 20] ^= 1  # in the payload
+    assert [h is not None for *_, h, _, _ in warc.salvage(warc.member(bytes(bad)))] == [True, False, True, True, True]
+
+
+def test_salvage_does_not_search_twice():
+    began = time.monotonic()
+    assert len(list(warc.salvage(b"x" + b"\x1f\x8b\x08z" * 300_000))) == 1
+    assert time.monotonic() - began < 30
+
+
+@pytest.mark.parametrize("damage", ["cut", "header", "magic"])
+def test_damaged_archives_are_read_by_the_reader_of_the_query(spark, tmp_path, damage):
+    pages = spark.createDataFrame([(k, "u", f"<p>{k} " + SAID(300)) for k in range(200)], "page_id long, url string, html string")
+    warc.write(warc.assign(pages).coalesce(1), path := str(tmp_path / "w"), 20_000)
+    files = sorted((tmp_path / "w").glob("part-*"))
+    assert len(files) > 3 and all(f.stat().st_size < 40_000 for f in files)
+    data = bytearray(files[1].read_bytes())
+    members = [k for k in range(len(data)) if data[k : k + 3] == b"\x1f\x8b\x08"]
+    if damage == "cut":
+        data = data[: members[-1] + 40]
+    elif damage == "header":
+        data[members[1]] ^= 0xFF
+    else:
+        data[members[1] + 30 : members[1] + 33] = b"\x1f\x8b\x08"
+    files[1].write_bytes(bytes(data))
+    (tmp_path / "w" / f".{files[1].name}.crc").unlink(missing_ok=True)
+    found = warc.read(spark, path, payloads=False).collect()
+    assert sum(r["reason"] is None for r in found) == 199 and sum(r["reason"] is not None for r in found) == 1
