@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar, settings
 from ..operators import groups, joins
+from ..sources import files
 from ..sources.files import table as _t
 from ..streaming import events as stream
 
@@ -30,6 +31,16 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def _scratch(spark: SparkSession, tag: str) -> str:
+    """A new folder name in the folder all executors share; of its own only in a local session that has none."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = os.path.join(tempfile.gettempdir(), "checkpoints")
+    return f"{folder}/{tag}_{uuid.uuid4().hex}"
+
+
 def _money(x: str | F.Column) -> F.Column:
     return (F.col(x) if isinstance(x, str) else x).cast("decimal(18,2)")
 
@@ -167,10 +178,10 @@ def grouping_sets(spark: SparkSession, d: str) -> DataFrame:
     round(median(value), 4) as mid from events group by event_type"""
 )
 def statistics(spark: SparkSession, d: str) -> DataFrame:
-    return _t(spark, d, "events").groupBy("event_type").agg(
-        F.round(F.stddev_samp("value"), 4).alias("sd"), F.round(F.percentile("value", 0.9), 4).alias("p90"),
-        F.round(F.corr("value", "event_id"), 4).alias("r"), F.round(F.median("value"), 4).alias("mid"),
-    )
+    e = _t(spark, d, "events")
+    moments = e.groupBy("event_type").agg(F.round(F.stddev_samp("value"), 4).alias("sd"), F.round(F.corr("value", "event_id"), 4).alias("r"))
+    places = groups.percentiles(e, "event_type", "value", {"p90": 0.9, "mid": 0.5})
+    return moments.join(places, "event_type").select("event_type", "sd", F.round("p90", 4).alias("p90"), "r", F.round("mid", 4).alias("mid"))
 
 
 @query("select event_type, count(distinct user_id) as n_users from events group by event_type")
@@ -190,9 +201,9 @@ def approximate_users(spark: SparkSession, d: str) -> DataFrame:
 )
 def window_functions(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    return _t(spark, d, "orders").select(
-        "o_custkey", "o_orderkey", F.row_number().over(w).cast("long").alias("n"), F.lag("o_totalprice").over(w).alias("before"),
-        F.rank().over(Window.partitionBy("o_orderstatus").orderBy("o_totalprice")).cast("long").alias("by_price"),
+    rows = groups.ranked(_t(spark, d, "orders"), "o_orderstatus", "o_totalprice", "by_price")  # a status has much of the table
+    return rows.select(
+        "o_custkey", "o_orderkey", F.row_number().over(w).cast("long").alias("n"), F.lag("o_totalprice").over(w).alias("before"), F.col("by_price").cast("long"),
         F.sum(_money("o_totalprice")).over(w.rowsBetween(-2, 0)).cast("decimal(38,2)").alias("three"),
     )
 
@@ -276,14 +287,18 @@ def exploded_means(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """with q as (select embedding as e from embeddings where vec_id = 0)
-    select vec_id, round(list_cosine_similarity(cast(embedding as double[]), cast(q.e as double[])), 6) as alike from embeddings, q where vec_id <> 0 order by alike desc, vec_id limit 10"""
+    """with q as (select vec_id as asked, cast(embedding as double[]) as e from embeddings where vec_id % 20 = 0),
+    a as (select asked, vec_id, round(list_cosine_similarity(cast(embedding as double[]), e), 6) as alike from embeddings, q where vec_id <> asked)
+    select asked, vec_id, alike from a qualify row_number() over (partition by asked order by alike desc, vec_id) <= 10"""
 )
 def nearest_vectors(spark: SparkSession, d: str) -> DataFrame:
-    v = _t(spark, d, "embeddings")
-    asked = v.where("vec_id = 0").select(F.col("embedding").alias("e"))  # one row by its key
-    alike = F.round(scalar.cosine(F.col("embedding"), F.col("e")), 6).alias("alike")
-    return v.where("vec_id <> 0").join(F.broadcast(asked)).select("vec_id", alike).orderBy(F.desc("alike"), "vec_id").limit(10)
+    """The ten nearest of every vector whose id is divisible by 20, among all. Blocks of the asked are dealt to all parts
+    of the table; each part keeps its ten nearest of each before they meet."""
+    v = _t(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    asked = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("asked"), F.col("v").alias("e"), F.pmod(F.xxhash64("vec_id"), F.lit(8)).alias("block"))
+    each = v.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))))
+    met = each.join(asked, "block").where("vec_id <> asked").select("asked", "vec_id", F.round(scalar.cosine(F.col("v"), F.col("e")), 6).alias("alike"))
+    return groups.top_per_group(met, ["asked"], [F.desc("alike"), F.col("vec_id")], 10)
 
 
 @query("select l_partkey, count(*) as n from lineitem a where l_quantity > (select avg(l_quantity) + 15 from lineitem b where b.l_partkey = a.l_partkey) group by l_partkey")
@@ -319,13 +334,7 @@ def session_windows(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select time_bucket(interval '1 day', ts) as start, event_type, count(*) as n from events group by 1, 2")
 def streamed_counts(spark: SparkSession, d: str) -> DataFrame:
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        folder = os.path.join(tempfile.gettempdir(), "checkpoints")
-    name = f"streamed_{uuid.uuid4().hex}"
-    out = stream.drain(stream.windowed(stream.source(spark, d), "1 day", "1 hour"), name, f"{folder}/{name}", "complete")
+    out = stream.drain(stream.windowed(stream.source(spark, d), "1 day", "1 hour"), "streamed", _scratch(spark, "streamed"), "complete")
     return out.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n")
 
 
@@ -397,6 +406,75 @@ def last_turns(spark: SparkSession, d: str) -> DataFrame:
     return last.groupBy("x.role").agg(F.count("*").alias("n"), F.sum("x.n").alias("chars"))
 
 
+@query("select o_orderkey, o_totalprice, row_number() over (order by o_totalprice desc, o_orderkey) as place from orders")
+def sorted_orders(spark: SparkSession, d: str) -> DataFrame:
+    """A full sort: places over all rows, ranked in ranges and sorted by them."""
+    o = _t(spark, d, "orders").select("o_orderkey", "o_totalprice", F.lit(0).alias("all"), (-F.col("o_totalprice")).alias("low"))
+    tied = Window.partitionBy("low").orderBy("o_orderkey")
+    out = groups.ranked(o, "all", "low", "first").select("o_orderkey", "o_totalprice", (F.col("first") + F.row_number().over(tied) - 1).cast("long").alias("place"))
+    return out.orderBy("place")
+
+
+@query("select c_nationkey as k from customer intersect all select s_nationkey from supplier")
+def intersect_all(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "customer").select(F.col("c_nationkey").alias("k")).intersectAll(_t(spark, d, "supplier").select("s_nationkey"))
+
+
+@query("select c_nationkey as k from customer where c_acctbal > 0 except select s_nationkey from supplier where s_acctbal > 5000")
+def except_distinct(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "customer").where("c_acctbal > 0").select(F.col("c_nationkey").alias("k")).subtract(_t(spark, d, "supplier").where("s_acctbal > 5000").select("s_nationkey"))
+
+
+@query("select p_partkey, map_extract(map {'brand': p_brand, 'type': p_type}, 'type')[1] as t, len(map_keys(map {'brand': p_brand, 'type': p_type})) as n from part")
+def maps(spark: SparkSession, d: str) -> DataFrame:
+    both = F.create_map(F.lit("brand"), F.col("p_brand"), F.lit("type"), F.col("p_type"))
+    return _t(spark, d, "part").select("p_partkey", F.element_at(both, "type").alias("t"), F.size(F.map_keys(both)).cast("long").alias("n"))
+
+
+@query("select lower(n_name) as name, contains(lower(n_name), 'an') as has_an, c_custkey is not null as has_customer, n_nationkey from nation left join (select min(c_custkey) as c_custkey, c_nationkey from customer where c_acctbal > 9900 group by c_nationkey) on c_nationkey = n_nationkey")
+def flags(spark: SparkSession, d: str) -> DataFrame:
+    """Lower case, contains, and a flag for what a left join found."""
+    rich = _t(spark, d, "customer").where("c_acctbal > 9900").groupBy("c_nationkey").agg(F.min("c_custkey").alias("c_custkey"))
+    j = _t(spark, d, "nation").join(rich, F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    name = F.lower("n_name")
+    return j.select(name.alias("name"), F.contains(name, F.lit("an")).alias("has_an"), F.col("c_custkey").isNotNull().alias("has_customer"), "n_nationkey")
+
+
+@query("select n_nationkey, n_name, r_name from nation join region on n_regionkey = r_regionkey where r_name <> 'ASIA'")
+def view(spark: SparkSession, d: str) -> DataFrame:
+    """A temporary view over two tables, queried by name."""
+    _t(spark, d, "nation").createOrReplaceTempView("quarryflow_nation")
+    _t(spark, d, "region").createOrReplaceTempView("quarryflow_region")
+    spark.sql("create or replace temporary view quarryflow_places as select n_nationkey, n_name, r_name from quarryflow_nation join quarryflow_region on n_regionkey = r_regionkey")
+    return spark.sql("select * from quarryflow_places where r_name <> 'ASIA'")
+
+
+def _round_trip(format: str, schema: str | None) -> Query:
+    def f(spark: SparkSession, d: str) -> DataFrame:
+        rows = _t(spark, d, "supplier").select("s_suppkey", "s_name", "s_nationkey")
+        rows = rows.select(F.to_json(F.struct("*")).alias("value")) if format == "text" else rows
+        files.write(rows, path := _scratch(spark, format), format)
+        back = files.read(spark, path, format, schema)
+        return back.select(F.from_json("value", "s_suppkey long, s_name string, s_nationkey long").alias("x")).select("x.*") if format == "text" else back
+
+    f.__name__ = f"{format}_files"
+    return f
+
+
+for _format, _schema in (("csv", "s_suppkey long, s_name string, s_nationkey long"), ("json", "s_suppkey long, s_name string, s_nationkey long"), ("orc", None), ("text", None)):
+    query("select s_suppkey, s_name, s_nationkey from supplier")(_round_trip(_format, _schema))
+
+
+@query(
+    """select x as start, event_type, count(*) as n from (select event_type, unnest([time_bucket(interval '6 hours', ts), time_bucket(interval '6 hours', ts) - interval '6 hours']) as x from events)
+    group by 1, 2"""
+)
+def sliding(spark: SparkSession, d: str) -> DataFrame:
+    """Windows of 12 hours every 6, as a real stream with a watermark."""
+    out = stream.drain(stream.windowed(stream.source(spark, d), "12 hours", "1 hour", "6 hours"), "sliding", _scratch(spark, "sliding"), "complete")
+    return out.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, (f, _) in QUERIES.items()}
 

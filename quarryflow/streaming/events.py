@@ -45,8 +45,15 @@ def running(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id").applyInPandasWithState(_running, "user_id long, n long, total double", "n long, total double", "update", GroupStateTimeout.NoTimeout)
 
 
-def drain(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over what its source has now and returns what it put out."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def drain(stream: DataFrame, name: str, folder: str, mode: str = "append") -> DataFrame:
+    """Runs a stream over what its source has now and returns what it put out, through files in
+    ``folder`` under ``name``: nothing is gathered in the driver. In complete mode the last batch is the result; otherwise all batches are."""
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/{name}/out/batch={number}")  # a batch that is run again replaces itself
+
+    query = stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{folder}/{name}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    out = stream.sparkSession.read.schema(f"{stream._jdf.schema().toDDL()}, batch long").parquet(f"{folder}/{name}/out")
+    last = out.agg(F.max("batch")).first()[0]
+    return (out.where(F.col("batch") == last) if mode == "complete" and last is not None else out).drop("batch")

@@ -82,3 +82,42 @@ def test_streams(spark, tmp_path):
     assert stream.drain(stream.once(feed, "10 hours"), "t_once", str(tmp_path / "c2")).count() == 30
     state = stream.drain(stream.running(feed), "t_running", str(tmp_path / "c3"), "update")
     assert {r["user_id"]: r["n"] for r in state.collect()} == {0: 12, 1: 12, 2: 11}
+
+
+@pytest.mark.parametrize("order", ["rank", "row_number"])
+def test_ranked_in_ranges(spark, order):
+    rng = random.Random(2)
+    rows = [(rng.choice("aaaaaaaab"), rng.choice([None, *range(40)])) for _ in range(600)]
+    df = spark.createDataFrame(rows, "g string, v int")
+    got = sorted(((r["g"], r["v"], r["n"]) for r in groups.ranked(df, "g", "v", "n", order, ranges=7).collect()), key=repr)
+    low = lambda v: -1 if v is None else v
+    if order == "rank":
+        assert got == sorted(((g, v, 1 + sum(h == g and low(w) < low(v) for h, w in rows)) for g, v in rows), key=repr)
+    for g in "ab":
+        own = sorted((n, low(v)) for h, v, n in got if h == g)
+        assert [v for _, v in own] == sorted(low(v) for h, v in rows if h == g)
+        assert order == "rank" or [n for n, _ in own] == list(range(1, len(own) + 1))
+
+
+def test_percentiles_are_exact(spark):
+    rng = random.Random(3)
+    rows = [(g, rng.random()) for g in "xyz" for _ in range({"x": 1, "y": 2, "z": 501}[g])] + [("z", None)]
+    got = groups.percentiles(spark.createDataFrame(rows, "g string, v double"), "g", "v", {"low": 0.1, "mid": 0.5, "most": 1.0})
+    for r in got.collect():
+        own = sorted(v for g, v in rows if g == r["g"] and v is not None)
+        for name, p in (("low", 0.1), ("mid", 0.5), ("most", 1.0)):
+            at = p * (len(own) - 1)
+            k = int(at)
+            assert abs(r[name] - (own[k] + (own[min(k + 1, len(own) - 1)] - own[k]) * (at - k))) < 1e-12
+
+
+def test_late_events_are_left_out(spark, tmp_path):
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    for k, hours in enumerate(([1, 2, 20], [1, 19, 30], [40])):  # the second file's first event is later than the watermark allows
+        rows = [(10 * k + j, f"2024-01-01 00:00:00", 1, "click", 1.0, "{}", h) for j, h in enumerate(hours)]
+        df = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double, props string, h int")
+        df = df.withColumn("ts", (F.col("ts").cast("timestamp") + F.make_interval(hours=F.col("h"))).cast("timestamp_ntz")).drop("h")
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    feed = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")).withColumn("ts", F.col("ts").cast("timestamp"))
+    out = stream.drain(stream.windowed(feed, "1 hour", "2 hours"), "late", str(tmp_path / "c"))
+    assert {r["window"]["start"].hour: r["n"] for r in out.collect() if r["window"]["start"].day == 1}[1] == 1
