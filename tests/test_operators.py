@@ -113,8 +113,8 @@ def test_percentiles_are_exact(spark):
 
 def test_late_events_are_left_out(spark, tmp_path):
     schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
-    for k, hours in enumerate(([1, 2, 20], [1, 19, 30], [40])):  # the second file's first event is later than the watermark allows
-        rows = [(10 * k + j, f"2024-01-01 00:00:00", 1, "click", 1.0, "{}", h) for j, h in enumerate(hours)]
+    for k, hours in enumerate(([1, 2, 20], [19, 30], [1, 40])):  # Spark holds events against the watermark of a batch before, so the third file's first is late
+        rows = [(10 * k + j, "2024-01-01 00:00:00", 1, "click", 1.0, "{}", h) for j, h in enumerate(hours)]
         df = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double, props string, h int")
         df = df.withColumn("ts", (F.col("ts").cast("timestamp") + F.make_interval(hours=F.col("h"))).cast("timestamp_ntz")).drop("h")
         df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
