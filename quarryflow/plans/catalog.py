@@ -189,9 +189,13 @@ def distinct_users(spark: SparkSession, d: str) -> DataFrame:
     return groups.distinct_in_two(_t(spark, d, "events"), ["event_type"], "user_id", "n_users")
 
 
-@query()
+@query("select event_type, count(distinct user_id) as n_users, true as close from events group by event_type")
 def approximate_users(spark: SparkSession, d: str) -> DataFrame:
-    return _t(spark, d, "events").groupBy("event_type").agg(F.approx_count_distinct("user_id", 0.02).alias("n_users"))
+    """A sketch's count held against the exact one: whether it is within four of its standard errors."""
+    e = _t(spark, d, "events")
+    near = e.groupBy("event_type").agg(F.approx_count_distinct("user_id", 0.02).alias("near"))
+    close = (F.abs(F.col("near") - F.col("n_users")) <= 0.08 * F.col("n_users")).alias("close")
+    return groups.distinct_in_two(e, ["event_type"], "user_id", "n_users").join(near, "event_type").select("event_type", "n_users", close)
 
 
 @query(
@@ -355,6 +359,17 @@ def group_udf(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "events").select("user_id", "value").groupBy("user_id").applyInPandas(spread, "user_id long, spread double")
 
 
+@query("select user_id, round(mad(value), 4) as deviation from events group by user_id")
+def aggregate_udf(spark: SparkSession, d: str) -> DataFrame:
+    """An aggregate that Spark lacks; a group's values meet in one task, so it is for groups that stay small."""
+
+    @F.pandas_udf("double")
+    def deviation(x: pd.Series) -> float:
+        return (x - x.median()).abs().median()
+
+    return _t(spark, d, "events").groupBy("user_id").agg(deviation("value").alias("deviation")).select("user_id", F.round("deviation", 4).alias("deviation"))
+
+
 @query("select p_partkey, unnest(string_split(p_name, ' ')) as word from part")
 def table_udf(spark: SparkSession, d: str) -> DataFrame:
     @F.udtf(returnType="word string")
@@ -449,6 +464,49 @@ def view(spark: SparkSession, d: str) -> DataFrame:
     return spark.sql("select * from quarryflow_places where r_name <> 'ASIA'")
 
 
+@query("select n_nationkey, upper(n_name) as n_name from nation where n_regionkey < 2 union all select n_nationkey, n_name from nation where n_regionkey = 4")
+def stored_table(spark: SparkSession, d: str) -> DataFrame:
+    """A catalog table: created, filled, overwritten, added to. The name goes when the reader is made; the files stay as scratch."""
+    name, path, n = f"quarryflow_{uuid.uuid4().hex}", _scratch(spark, "stored"), _t(spark, d, "nation")
+    spark.sql(f"create table {name} (n_nationkey int, n_name string) using parquet location '{path}'")
+    spark.sql(f"insert into {name} select n_nationkey, n_name from {{n}}", n=n)
+    spark.sql(f"insert overwrite {name} select n_nationkey, upper(n_name) from {{n}} where n_regionkey < 2", n=n)
+    spark.sql(f"insert into {name} select n_nationkey, n_name from {{n}} where n_regionkey = 4", n=n)
+    out = spark.read.schema(spark.table(name).schema).parquet(path)
+    spark.sql(f"drop table {name}")
+    return out
+
+
+@query("select 'N' || n_nationkey as key, n_name as value from nation where n_regionkey <> 0")
+def parsed_settings(spark: SparkSession, d: str) -> DataFrame:
+    line = F.when(F.col("n_regionkey") == 0, F.concat(F.lit("# N="), "n_name")).otherwise(F.format_string('export N%d="%s"', "n_nationkey", "n_name"))
+    return settings.parse(_t(spark, d, "nation").select(line.alias("value")))
+
+
+@query("select c_nationkey, min(c_custkey) as c_custkey from customer where c_custkey in (select o_custkey from orders where o_totalprice > 450000) group by c_nationkey")
+def first_present(spark: SparkSession, d: str) -> DataFrame:
+    """Of each nation the first customer that has a large order."""
+    c = _t(spark, d, "customer").select("c_nationkey", "c_custkey", F.col("c_custkey").alias("place"))
+    large = _t(spark, d, "orders").where("o_totalprice > 450000").select(F.col("o_custkey").alias("c_custkey"))
+    return settings.first_present(c, large, "c_nationkey", "c_custkey", "place")
+
+
+@query(
+    """with known as (select n_nationkey as key, n_name as value from nation where n_regionkey < 3)
+    select * from known union all select distinct s_nationkey, 'supplier' from supplier where s_nationkey not in (select key from known)"""
+)
+def append_absent(spark: SparkSession, d: str) -> DataFrame:
+    known = _t(spark, d, "nation").where("n_regionkey < 3").select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("value"))
+    return settings.append_absent(known, _t(spark, d, "supplier").select(F.col("s_nationkey").alias("key"), F.lit("supplier").alias("value")), ["key"])
+
+
+@query("select p_partkey, p_size as major, substr(p_type, 1, 1) in ('s', 'S') as yes from part")
+def answers(spark: SparkSession, d: str) -> DataFrame:
+    """The number before the first dot of a version, and whether an answer affirms."""
+    major = scalar.major_version(F.format_string("v%d.%d.0", "p_size", "p_partkey"))
+    return _t(spark, d, "part").select("p_partkey", major.alias("major"), scalar.affirmative(F.substring("p_type", 1, 1)).alias("yes"))
+
+
 def _round_trip(format: str, schema: str | None) -> Query:
     def f(spark: SparkSession, d: str) -> DataFrame:
         rows = _t(spark, d, "supplier").select("s_suppkey", "s_name", "s_nationkey")
@@ -475,6 +533,30 @@ def sliding(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n")
 
 
+@query(
+    """with s as (select *, case when ts - lag(ts) over w < interval '30 minutes' then 0 else 1 end as new_ from events window w as (partition by user_id order by ts, event_id)),
+    g as (select *, sum(new_) over (partition by user_id order by ts, event_id) as k from s)
+    select user_id, min(ts) as start, count(*) as n from g group by user_id, k"""
+)
+def streamed_sessions(spark: SparkSession, d: str) -> DataFrame:
+    out = stream.drain(stream.sessions(stream.source(spark, d), "30 minutes", "1 hour"), "sessions", _scratch(spark, "sessions"), "complete")
+    return out.select("user_id", F.col("session_window.start").cast("timestamp_ntz").alias("start"), "n")
+
+
+@query("select event_id, user_id, event_type from events")
+def streamed_once(spark: SparkSession, d: str) -> DataFrame:
+    """The stream united with itself, each event once."""
+    twice = stream.source(spark, d).unionByName(stream.source(spark, d))
+    return stream.drain(stream.once(twice, "1 hour"), "once", _scratch(spark, "once")).select("event_id", "user_id", "event_type")
+
+
+@query("select user_id, count(*) as n, round(sum(value), 4) as total from events group by user_id")
+def streamed_running(spark: SparkSession, d: str) -> DataFrame:
+    """Running state of each user; the last of what a stream gave is what its state holds."""
+    out = stream.drain(stream.running(stream.source(spark, d)), "running", _scratch(spark, "running"), "update")
+    return out.groupBy("user_id").agg(F.max("n").alias("n"), F.max_by("total", "n").alias("total")).select("user_id", "n", F.round("total", 4).alias("total"))
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, (f, _) in QUERIES.items()}
 
