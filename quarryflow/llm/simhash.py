@@ -18,11 +18,12 @@ never its pairs, and components are joined up over the whole table by stars.
 
 Defined cases: a null or empty text, or one of white space, has fingerprint zero and links like any other; a
 null doc_id takes part, and a component of nulls only has a null id; repeated rows are answered one by one;
-other columns are ignored.
+other columns are ignored. A text of over ``STEP_BYTES`` is read in parts that end with a word.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -32,8 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import raw_text
-from .common import materialize
+from .common import STEP_BYTES, materialize, raw_text
 from .graph import components
 
 WORDS, RADIUS, SEED, BITS = 3, 2, 42, 64
@@ -44,23 +44,31 @@ LARGE, HELD = 2048, 1 << 19
 HOT = 1 << 16
 
 
-def fingerprint(text: bytes, words: int = WORDS) -> int:
-    """Of one text's UTF-8 bytes."""
-    tokens = text.lower().split()
-    if not tokens:
-        return 0
-    joined, digest = b" ".join(tokens), xxhash.xxh64_intdigest
-    if len(tokens) <= words:
-        return digest(joined, SEED)
-    size = np.fromiter(map(len, tokens), np.int64, len(tokens))
-    ends = np.cumsum(size + 1) - 1
-    begins = (ends - size)[: len(tokens) - words + 1].tolist()
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(begins, ends[words - 1 :].tolist())], np.uint64)
-    ones = np.zeros(BITS, np.int64)
-    for k in range(0, len(hashes), 1 << 15):
-        part = np.unpackbits(hashes[k : k + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += part.sum(0, dtype=np.int32)
-    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def fingerprint(text: bytes, words: int = WORDS, limit: int = STEP_BYTES) -> int:
+    """Of one text's UTF-8 bytes, read in parts of about ``limit`` bytes; the words before a part that its shingles need stay."""
+    digest, ones, n, tokens, at = xxhash.xxh64_intdigest, np.zeros(BITS, np.int64), 0, [], 0
+    while at < len(text):
+        cut = _SPACE.search(text, at + limit)
+        stop = cut.end() if cut else len(text)
+        tokens += text[at:stop].lower().split()
+        at = stop
+        if len(tokens) < words:
+            continue
+        joined, size = b" ".join(tokens), np.fromiter(map(len, tokens), np.int64, len(tokens))
+        ends = np.cumsum(size + 1) - 1
+        begins = (ends - size)[: len(tokens) - words + 1].tolist()
+        hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(begins, ends[words - 1 :].tolist())], np.uint64)
+        for k in range(0, len(hashes), 1 << 15):
+            part = np.unpackbits(hashes[k : k + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            ones += part.sum(0, dtype=np.int32)
+        n += len(hashes)
+        tokens = tokens[len(tokens) - words + 1 :]
+    if not n:
+        return digest(b" ".join(tokens), SEED) if tokens else 0
+    return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
