@@ -7,7 +7,8 @@ batching, and ``write_buckets`` lays them out so.
 
 Ids come from a public tokenizer whose file the workers find by name or path. For a tokenizer that drops
 white space, ids of a text are the ids of its words one after another, so words are encoded once and kept in
-a table of bounded size; others encode each text whole. Nothing is shuffled.
+a table of bounded size, and a text of over ``TOGETHER`` characters is read in parts that end with a word; others
+encode each text whole. Nothing is shuffled.
 
 Defined cases: a null or empty text has no ids but its end id, one piece of length 1; a long text gives more
 pieces, and each piece is one row; repeated rows are packed one by one; other columns are ignored; a null
@@ -35,6 +36,18 @@ KEPT = 1_200_000
 TOGETHER = 1 << 21
 
 
+def parts(text: str) -> Iterator[str]:
+    """The text in parts of at most ``TOGETHER`` characters, or a word more, cut after spaces and line ends."""
+    at = 0
+    while len(text) - at > TOGETHER:
+        stop = max(text.rfind(c, at, at + TOGETHER) for c in " \n") + 1
+        if not stop:  # a word of more than that
+            stop = min((k + 1 for k in (text.find(c, at + TOGETHER) for c in " \n") if k >= 0), default=len(text))
+        yield text[at:stop]
+        at = stop
+    yield text[at:]
+
+
 class WordIds:
     """Ids of texts, as little-endian unsigned 32-bit bytes."""
 
@@ -95,22 +108,29 @@ class WordIds:
             self._encode(plain)
         self.known.update((w, self.known[low] + self.known[tail]) for w, low, tail in made)
 
+    def _together(self, texts: list[str]) -> Iterator[bytes]:
+        split = [t.replace("\n", " ").split(" ") for t in texts]
+        if len(self.known) > KEPT:
+            self.known = {"": b""}
+        self.learn(set().union(*split).difference(self.known))
+        for words in split:
+            yield b"".join(map(self.known.__getitem__, words))
+
     def of(self, texts: list[str]) -> Iterator[bytes]:
         if not self.by_word:
             yield from map(self.whole, texts)
             return
         first = 0
         while first < len(texts):
+            if len(texts[first]) > TOGETHER:
+                yield b"".join(ids for part in parts(texts[first]) for ids in self._together([part]))
+                first += 1
+                continue
             last, held = first, 0
-            while last < len(texts) and held < TOGETHER:
+            while last < len(texts) and held < TOGETHER and len(texts[last]) <= TOGETHER:
                 held += len(texts[last])
                 last += 1
-            split = [t.replace("\n", " ").split(" ") for t in texts[first:last]]
-            if len(self.known) > KEPT:
-                self.known = {"": b""}
-            self.learn(set().union(*split).difference(self.known))
-            for words in split:
-                yield b"".join(map(self.known.__getitem__, words))
+            yield from self._together(texts[first:last])
             first = last
 
 
@@ -147,9 +167,9 @@ def _pieces(batches: Iterator[pa.RecordBatch], file: str, by_word: bool, length:
             for size in cuts(n, length):
                 out.append((doc, start, size, ids[4 * start : 4 * (start + size)], n))
                 start += size
-            if len(out) >= _ROWS:
-                yield packed()
-                out = []
+                if len(out) >= _ROWS:
+                    yield packed()
+                    out = []
     if out:
         yield packed()
 

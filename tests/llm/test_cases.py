@@ -10,6 +10,7 @@ import time
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from quarryflow.llm import chat, decontam, digest, learn, neardup, packing, pii, quality, repeats, simhash, toxicity, warc
@@ -207,6 +208,14 @@ def test_simhash(docs, spark):
         simhash.link_edges(empty(spark, "fp long"), 9)
 
 
+@pytest.mark.parametrize("words", [1, 3, 5])
+def test_fingerprint_of_a_long_text_in_parts_is_the_whole(words):
+    for text in (LONG[:9000], "one two", " a  b\tc ", "z" * 300 + " y", " " * 90, SAID(7), "x"):
+        whole = simhash.fingerprint(text.encode(), words)
+        assert [simhash.fingerprint(text.encode(), words, limit) for limit in (1, 7, 64, 1000)] == [whole] * 4
+    assert simhash.fingerprint(b"one two") == xxhash.xxh64_intdigest(b"one two", 42) and simhash.fingerprint(b" \n") == 0
+
+
 @pytest.mark.parametrize("n, large", [(5000, 64), (3000, 10_000)])
 def test_blocks_lose_no_link(n, large, monkeypatch):
     monkeypatch.setattr(simhash, "LARGE", large)
@@ -286,6 +295,15 @@ def test_packing(docs, spark):
     assert [packing.cuts(n, 8) for n in (1, 7, 8, 21)] == [[1], [4, 2, 1], [8], [8, 8, 4, 1]]
 
 
+@pytest.mark.parametrize("together", [1, 5, 200])
+def test_ids_of_a_long_text_in_parts_are_the_whole(monkeypatch, together):
+    monkeypatch.setattr(packing, "TOGETHER", together)
+    texts = [LONG[:3000], "", "a\nb \n c", "z" * 40, " lead", "tail ", "x" * 9 + "\n" + "y" * 300 + " w", "\n" * 7, "it's a.b, <|endoftext|> Q."]
+    assert all("".join(packing.parts(t)) == t for t in texts)
+    ids = packing.WordIds(packing.TOKENIZER)
+    assert list(ids.of(texts)) == [ids.whole(t) for t in texts]
+
+
 def test_near_duplicates(docs, spark):
     base = SAID(200).split()
     near = [" ".join(w if k not in {j * 37 % 200, j * 53 % 200} else "changed" for k, w in enumerate(base)) for j in range(1, 8)]
