@@ -93,20 +93,24 @@ class WordIds:
         plain, made = set(), []
         for w in words:
             base, tail = (w[:-1], w[-1]) if w[-1] in ".," and w[:-1].isalpha() else (w, "")
-            low = base.lower() if base.isalpha() and max(base) < "İ" else base
+            low = base.lower() if base.isalpha() and (base.isascii() or max(base) < "İ") else base
+            plain.add(low)
             if low != w:
                 made.append((w, low, tail))
-            plain.update((low, tail) if tail else (low,))
+                if tail:
+                    plain.add(tail)
         plain = [w for w in plain if w not in self.known]
-        if self.mark is None or any(self.mark[:2] in w for w in plain):
+        if self.mark is None or self.mark[:2] in "\n".join(plain):
             self.known.update((w, self.whole(w)) for w in plain if self.mark is None or self.mark[:2] in w)
             plain = [w for w in plain if w not in self.known]
-        letters = [w for w in plain if w.isalpha() and max(w) < "İ"]
+        letters = [w for w in plain if w.isalpha() and (w.isascii() or max(w) < "İ")]
         if letters and self._encode_letters(letters):
             plain = [w for w in plain if w not in self.known]
         if plain:
             self._encode(plain)
-        self.known.update((w, self.known[low] + self.known[tail]) for w, low, tail in made)
+        known = self.known
+        for w, low, tail in made:
+            known[w] = known[low] + known[tail] if tail else known[low]
 
     def _together(self, texts: list[str]) -> Iterator[bytes]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
