@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar, settings
-from ..operators import groups, joins
+from ..operators import groups, joins, vectors
 from ..sources import files
 from ..sources.files import table as _t
 from ..streaming import events as stream
@@ -296,13 +296,9 @@ def exploded_means(spark: SparkSession, d: str) -> DataFrame:
     select asked, vec_id, alike from a qualify row_number() over (partition by asked order by alike desc, vec_id) <= 10"""
 )
 def nearest_vectors(spark: SparkSession, d: str) -> DataFrame:
-    """The ten nearest of every vector whose id is divisible by 20, among all. Blocks of the asked are dealt to all parts
-    of the table; each part keeps its ten nearest of each before they meet."""
-    v = _t(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    asked = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("asked"), F.col("v").alias("e"), F.pmod(F.xxhash64("vec_id"), F.lit(8)).alias("block"))
-    each = v.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))))
-    met = each.join(asked, "block").where("vec_id <> asked").select("asked", "vec_id", F.round(scalar.cosine(F.col("v"), F.col("e")), 6).alias("alike"))
-    return groups.top_per_group(met, ["asked"], [F.desc("alike"), F.col("vec_id")], 10)
+    """The ten nearest of every vector whose id is divisible by 20, among all."""
+    found = vectors.nearest(_t(spark, d, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 20 == 0, 10)
+    return found.withColumnRenamed("id", "vec_id")
 
 
 @query("select l_partkey, count(*) as n from lineitem a where l_quantity > (select avg(l_quantity) + 15 from lineitem b where b.l_partkey = a.l_partkey) group by l_partkey")
