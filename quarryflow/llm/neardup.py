@@ -1,9 +1,13 @@
-"""Near-duplicate removal at a given similarity of word shingles, on the SimHash operator's pivot tables.
+"""Near-duplicate removal at a given similarity of word shingles: SimHash classes first, then what lies beyond their radius.
+
+Fingerprints are of a text's distinct shingles. The SimHash operator links those within its radius: its blocks of equal
+bits, its pivot tables, its components. A class of linked fingerprints is a block here, and as fingerprints alone may
+link what is not alike, the exact similarity of shingle sets decides inside it.
 
 At a similarity of 0.8 a pair's 64-bit fingerprints differ in about 10 bits and often in 16, too many for blocks
-of equal bits. So blocks come from min-hash bands of the same shingles (``BANDS`` of ``DEEP`` values: a pair at 0.8
-meets with probability 1 - 3e-5, at 0.9 with 1 - 1e-9). Fingerprints, of a text's distinct shingles, only say who are
-neighbours in a block; what is discarded unseen are pairs whose numbers of distinct shingles rule the similarity out.
+of equal bits. So further blocks come from min-hash bands of the same shingles (``BANDS`` of ``DEEP`` values: a pair at
+0.8 meets with probability 1 - 3e-5, at 0.9 with 1 - 1e-9), and pivot distances say who are neighbours in a block. What is
+discarded unseen are pairs whose numbers of distinct shingles rule the similarity out.
 
 First a block proposes a number of pairs linear in its size: each text with the block's first and with its neighbour by
 pivot distance. They are verified by the exact similarity of their shingle sets and joined into components, which
@@ -30,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import STEP_BYTES, Spans, bucketed, lean, materialize, mix, pieces, raw_text, runs, steps
 from .graph import components
-from .simhash import PIVOTS, _Forest
+from .simhash import PIVOTS, RADIUS, _Forest, link_edges
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, DEEP = 20, 4
@@ -245,6 +249,12 @@ def unsettled(blocks: DataFrame, roots: DataFrame) -> DataFrame:
     return tiles.select("tile", F.explode("ids").alias("id")).join(roots, "id", "left").select("tile", "id", F.coalesce("root", "id").alias("root"))
 
 
+def classes(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """The SimHash classes of ``nodes`` (id, fp, size) as blocks: (band, id, fp, size)."""
+    linked = components(link_edges(nodes.select("fp").distinct(), radius)).withColumnRenamed("node", "fp")
+    return nodes.join(linked, "fp", "left").select(F.xxhash64(F.coalesce("root", "fp")).alias("band"), "id", "fp", "size")
+
+
 _ROW = "neardup_row"
 
 
@@ -255,7 +265,7 @@ def groups(rows: DataFrame, words: int = WORDS, similarity: float = SIMILARITY)
     signed = materialize(rows.select("row", "id", key, "text").mapInArrow(lambda it: lean(_signatures(it, words)), _SIGNED), "signatures")
     nodes = signed.groupBy("key").agg(F.min(F.struct("id", "row")).alias("best"), F.min_by(F.struct("fp", "size", "bands"), "row").alias("own"))
     nodes = materialize(nodes.select(F.col("best.row").alias("id"), F.col("best.id").alias("doc_id"), "own.fp", "own.size", "own.bands"), "nodes")
-    blocks = nodes.select(F.explode("bands").alias("band"), "id", "fp", "size")
+    blocks = classes(nodes).unionByName(nodes.select(F.explode("bands").alias("band"), "id", "fp", "size"))
     blocks = blocks.repartition("band").sortWithinPartitions("band").mapInArrow(_shared, blocks.schema)
     blocks = materialize(blocks, "shared")
     pairs = blocks.repartition("band").sortWithinPartitions("band").mapInArrow(lambda it: _pairs(it, similarity), "u long, v long")
